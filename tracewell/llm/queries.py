@@ -32,6 +32,39 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op5_quality(spark, sf_dir):
+    from tracewell.llm.quality_crf import fit, quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_toxicity(spark, sf_dir):
+    from tracewell.llm.toxicity import fit, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_mixing(spark, sf_dir):
+    from tracewell.llm.mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs).select("doc_id", "source", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("chars"), "block", "slot", "order")
+
+
+def op8_near_dedup(spark, sf_dir):
+    from tracewell.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_main_text(spark, sf_dir):
+    from tracewell.llm.html_extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_media(spark, sf_dir):
     from tracewell.llm.media import media_digests
 
@@ -39,7 +72,7 @@ def op10_media(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_pii, op4_exact_dedup, op10_media)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_pii, op4_exact_dedup, op5_quality, op6_toxicity, op7_mixing, op8_near_dedup, op9_main_text, op10_media)}
 
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
