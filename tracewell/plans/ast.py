@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from decimal import Decimal
 
 OPS = ("=", "!=", ">", ">=", "<", "<=", "contains")
 Literal = str | int | float | bool | None
@@ -63,11 +62,8 @@ def literal(v: Literal) -> str:
             v = v.replace(a, b)
         return f'"{v}"'
     if isinstance(v, float):  # always with a point or an exponent, so that it reads as a float again
-        s = repr(v)
-        if "e" in s:
-            return s
-        s = format(Decimal(s), "f")
-        return s if "." in s else f"{s}.0"
+        digits, _, power = repr(v).partition("e")
+        return f"{digits}e{int(power)}" if power else digits
     return str(v)
 
 
