@@ -387,3 +387,16 @@ def test_alerts(spark, store):
         calls.clear()
         assert alerts.send_webhook("http://h/", {}, post(codes), lambda s: None) is ok and len(calls) == n
     assert alerts.holds(1, "!=", 2) and not alerts.holds(1, "??", 1)
+
+
+def test_gzip_and_whole_files(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.ndjson.gz").write_bytes(gzip.compress(b'{"i":1}\n{"i":2}\n'))
+    (tmp_path / "b.json").write_text('[{"i":3},\n{"i":4}]')
+    got = native.read_files(spark, str(tmp_path / "a.ndjson.gz"), now=NOW).union(native.read_files(spark, str(tmp_path / "b.json"), "json", now=NOW))
+    assert sorted(r[0] for r in got.select("attributes_json").collect()) == [f'{{"i":{i}}}' for i in range(1, 5)]
+    bad = spark.createDataFrame([("{",), ('{"i":5}',), (None,)], "body string")
+    assert native.parse_frame(bad, "json", NOW, on_error="skip").count() == 1
+    with pytest.raises(Exception, match="invalid JSON"):
+        native.parse_frame(bad, "json", NOW).count()

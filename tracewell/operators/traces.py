@@ -13,6 +13,7 @@ from tracewell.plans.view import View
 
 HOUR = 3_600 * 1_000_000_000
 PAGE_ROWS, MAX_TRACES, DEFAULT_TRACES = 20 * 500, 200, 50
+SALTS = 32
 
 
 def _spans(view: View, df: DataFrame) -> DataFrame:
@@ -29,9 +30,12 @@ def summarize(spans: DataFrame, cap: int | None = SUMMARY_SPANS) -> DataFrame:
     spans: trace_id, span_id, parent, ts, id, duration_ns, name, service, status. The root is the earliest span
     without a parent in the trace; ties go to the smaller id. With a cap only the first `cap` spans of a trace
     (by time and id) count, and truncated says so. Roots are found with a join on (trace, parent), not by
-    gathering a trace's spans; the cap's ranking is done only where a trace may exceed it.
+    gathering a trace's spans; the cap ranks within salted parts of a trace first.
     """
     if cap is not None:
+        # no trace can have more than cap spans that matter in any of its parts, so a task never ranks a whole hot trace
+        part = Window.partitionBy("trace_id", "_salt").orderBy("ts", "id")
+        spans = spans.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= cap + 1).drop("_k", "_salt")
         order = Window.partitionBy("trace_id").orderBy("ts", "id")
         spans = spans.withColumn("_k", F.row_number().over(order)).withColumn("_over", F.col("_k") > cap)
         over = spans.groupBy("trace_id").agg(F.max("_over").alias("truncated"))

@@ -28,7 +28,10 @@ def _columns(**where: str) -> dict[str, Column]:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> View:
-    e = read(spark, sf_dir, "events")
+    return logs_of(read(spark, sf_dir, "events"))
+
+
+def logs_of(e: DataFrame) -> View:
     level = F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_LEVELS.items() for x in kv]), F.col("event_type"))
     environment = F.when(F.col("user_id") % 5 == 0, None).when(F.col("user_id") % 3 == 0, "staging").otherwise("production")
     df = e.select(
