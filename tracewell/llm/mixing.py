@@ -86,10 +86,13 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], period: int = PE
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_chars: int = BLOCK_CHARS, period: int = PERIOD, power: float = 0.5, slot: str = "slot", block: str = "block", order: str = "order") -> DataFrame:
     """docs, all rows and columns, with the block of each document in its source, the slot of that block in the mix, and its order in the block.
 
+    If docs has a column of one of these names, the new one gets underscores in front.
+
     weights: of each source, in any unit; those without one, and all if weights is None, get their number of characters to the given power
     (scaled like the named ones' characters). A null source is a source of its own, '' is another. Null texts have no characters. Rows that
     repeat an id are documents of their own, next to each other. An empty table gives an empty result.
     """
+    slot, block, order = (fresh(docs, c) for c in (slot, block, order))
     src, n, u, cell, before, start = (fresh(docs, c) for c in ("mix_source", "mix_chars", "mix_hash", "mix_cell", "mix_before", "mix_start"))
     # null and '' are different sources
     key = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
