@@ -9,7 +9,7 @@ import pytest
 
 from tracewell.llm import html_extract, mixing, quality_crf, toxicity
 from tracewell.llm.labels import training_rows
-from tracewell.llm.minhash import components, drop_near, near_duplicates, shingle_sets, unresolved_pairs
+from tracewell.llm.minhash import components, drop_near, near_duplicates, shingle_sets, unresolved_links
 from tracewell.llm.words import hash_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -97,17 +97,23 @@ def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     assert {r.component_id for r in near_duplicates(odd).collect()} == {0}
 
 
-def test_pairs_that_no_pivot_links(spark):
-    """Members of one bucket that are like each other but not like its pivot come out of the blocks, over several blocks too."""
+def test_links_that_no_pivot_shows(spark):
+    """Members of one bucket that are like each other but not like its pivot are linked, over several blocks too, and as a forest."""
     rng = np.random.default_rng(1)
     base = rng.integers(0, 256, 160, dtype=np.uint8).tobytes()
-    sk = [(0, rng.integers(0, 256, 160, dtype=np.uint8).tobytes())] + [(i, base if i in (7, 1500) else rng.integers(0, 256, 160, dtype=np.uint8).tobytes()) for i in range(1, 2400)]
-    sk = spark.createDataFrame([(i, bytearray(b)) for i, b in sk], "id long, sk binary")
+    alike = (7, 1500, 1501, 2000)
+    sk = [(i, bytearray(base if i in alike else rng.integers(0, 256, 160, dtype=np.uint8).tobytes())) for i in range(2400)]
+    shared = sorted(range(1000, 1030))
+    sets = spark.createDataFrame([(i, shared + [5000 + i] if i in alike else [10 * i, 10 * i + 1]) for i in range(2400)], "id long, shingles array<long>")
+    sk = spark.createDataFrame(sk, "id long, sk binary")
     buckets = spark.range(2400).selectExpr("5L as key", "id", "0L as pivot")
     none = spark.createDataFrame([], "id long, root long")
-    assert [tuple(r) for r in unresolved_pairs(buckets, none, sk).collect()] == [(1500, 7)]
-    same = spark.createDataFrame([(7, 3), (1500, 3)], "id long, root long")
-    assert unresolved_pairs(buckets, same, sk).count() == 0
+    found = unresolved_links(buckets, none, sk, sets, 75).collect()
+    assert {x for r in found for x in r} == set(alike)
+    assert {r.root for r in components(unresolved_links(buckets, none, sk, sets, 75)).collect()} == {7}
+    same = spark.createDataFrame([(i, 3) for i in alike], "id long, root long")
+    assert unresolved_links(buckets, same, sk, sets, 75).count() == 0
+    assert unresolved_links(buckets, none, sk, sets, 97).count() == 0
 
 
 def test_components(spark):
@@ -163,6 +169,8 @@ def test_mix(spark):
         assert sum(b != min(s // 5000, last) for b, s in starts) <= 20
     assert [c for c in mixing.in_mix_order(df).columns] == df.columns and mixing.in_mix_order(df).count() == 900
     assert mixing.mix(docs(spark, [])).count() == 0
+    clash = mixing.mix(docs(spark, ["x"]).withColumnRenamed("lang", "Slot").withColumnRenamed("n_chars", "block"))
+    assert clash.columns == ["doc_id", "text", "Slot", "source", "block", "_block", "_slot", "order"]
 
 
 def page(article, **other):

@@ -8,10 +8,9 @@
    0.75 all bands miss it once in 4 million pairs.
 4. Star: each member of a bucket is paired with the bucket's smallest id only. Pairs
    whose sketches disagree are dropped, the rest is verified on the whole sets; links are contracted.
-5. The rest, without a cap: buckets that still hold several components are compared pair by
-   pair on their 160-byte sketches, in blocks of bounded size; only pairs of different
-   components whose sketches agree leave the block, and are verified in the same way.
-   A bucket of true copies is one component by then and has nothing left to compare.
+5. The rest, without a cap: where the buckets of a component still hold several components, their members
+   are compared in blocks of bounded size, on sketches and then on whole sets. What is linked already is not
+   compared, and only links that join components leave a block, fewer than it has members.
 
 Hash joins and aggregates carry narrow rows; a hot bucket's join is split by adaptive execution.
 No step collects documents, links or components to the driver.
@@ -31,9 +30,10 @@ from tracewell.llm.words import IS_SPACE, hash_words, mix
 
 SHINGLE = 5
 PERMUTATIONS, BANDS = 80, 40
-#: Of the 160 sketch bytes so many must agree for a pair to be verified: 5 standard deviations under what a link shows, even for tiny sets.
-AGREE = 80
-BLOCK = 1000
+#: Of the 160 sketch bytes so many must agree for a pair to be verified: 5 standard deviations under what a link shows, 4 for sets of a few shingles.
+AGREE = 90
+#: Ids in a block of stage 5; two blocks and their whole sets are in memory at once.
+BLOCK = 500
 
 _RNG = np.random.Generator(np.random.PCG64(20_240_229))
 _PLACE = _RNG.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -188,52 +188,90 @@ def components(edges: DataFrame) -> DataFrame:
     return materialize(out, "roots")
 
 
-def _compare(batches):
-    """Rows sorted by (key, i, j), with id, root, block and sketch: the alike pairs of different roots."""
-    held: list[tuple] = []
-    now = None
-
-    def pairs(rows):
-        ids, roots, blocks = (np.array([r[k] for r in rows]) for k in range(3))
-        sk = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        i, j = now[1], now[2]
-        one, two = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
-        for x in one:
-            ys = two[ids[two] > ids[x]] if i == j else two
-            ys = ys[roots[ys] != roots[x]]
-            if len(ys):
-                for y in ys[(sk[ys] == sk[x]).sum(axis=1) >= AGREE]:
-                    yield (max(ids[x], ids[y]), min(ids[x], ids[y]))
-
-    def batch(found):
-        return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    for b in batches:
-        found = set()
-        for key, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if (key, i, j) != now:
-                if len(held) > 1:
-                    found.update(pairs(held))
-                held, now = [], (key, i, j)
-            held.append(tuple(row))
-        if found:
-            yield batch(sorted(found))
-    if len(held) > 1:
-        yield batch(sorted(set(pairs(held))))
-
-
-def unresolved_pairs(buckets: DataFrame, roots: DataFrame, sk: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a bucket (key, id, pivot), are of different roots, no pivots, and alike by their sketches."""
-    rows = buckets.where("id <> pivot").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+def _alike_rows(sk: np.ndarray, x: int, ys: np.ndarray) -> np.ndarray:
+    """Those of ys whose sketches agree with x's, the most alike first."""
+    agree = (sk[ys] == sk[x]).sum(axis=1)
+    keep = agree >= AGREE
+    return ys[keep][np.argsort(-agree[keep], kind="stable")]
+
+
+def _links_in_block(rows: list[tuple], i: int, j: int, percent: int):
+    """rows: id, root, block, sketch, whole set. Links between blocks i and j that join different roots.
+
+    Whatever is linked already, by roots or by a link found here, is not compared, so what comes out is a forest: fewer links than rows.
+    """
+    ids, blocks = (np.array([r[k] for r in rows]) for k in (0, 2))
+    names, own = np.unique([r[1] for r in rows], return_inverse=True)
+    group = np.arange(len(names))
+    sk = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+    one, two = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+    for x in one:
+        ys = two[ids[two] > ids[x]] if i == j else two
+        ys = _alike_rows(sk, x, ys[group[own[ys]] != group[own[x]]])
+        mine, at, step = rows[x][4], 0, 8
+        while at < len(ys):
+            some = ys[at : at + step]
+            some = some[group[own[some]] != group[own[x]]]
+            at, step = at + step, 256
+            if not len(some):
+                continue
+            sets = [rows[y][4] for y in some]
+            sizes = np.array(list(map(len, sets)))
+            all_ = np.concatenate(sets)
+            place = np.minimum(np.searchsorted(mine, all_), len(mine) - 1)
+            common = np.add.reduceat(mine[place] == all_, np.cumsum(sizes) - sizes)
+            for y in some[common * 100 >= (sizes + len(mine) - common) * percent]:
+                if (a := group[own[x]]) != (c := group[own[y]]):
+                    group[group == c] = a
+                    yield max(ids[x], ids[y]), min(ids[x], ids[y])
+
+
+def _compare(percent: int):
+    """Over rows sorted by (region, i, j): the links that each such group adds."""
+
+    def run(batches):
+        held: list[tuple] = []
+        now = None
+
+        def batch():
+            found = list(_links_in_block(held, now[1], now[2], percent)) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            sets = b.column(7)
+            flat, offsets = sets.flatten().to_numpy().view(np.uint64), sets.offsets.to_numpy()  # sorted as unsigned
+            offsets = offsets - offsets[0]
+            for k, (region, i, j, *row) in enumerate(zip(*(b.column(c).to_pylist() for c in range(7)), strict=True)):
+                if (region, i, j) != now:
+                    if held:
+                        yield batch()
+                    held, now = [], (region, i, j)
+                held.append((*row, flat[offsets[k] : offsets[k + 1]].copy()))
+        if held:
+            yield batch()
+
+    return run
+
+
+def unresolved_links(buckets: DataFrame, roots: DataFrame, sk: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of ids of different roots that share a bucket (key, id, pivot): as many as it takes to join what they join.
+
+    The members of all buckets whose pivots have one root make a region, with each id in it once. Regions with
+    one root are done. The others are cut into blocks of BLOCK ids by hash, and every pair of blocks is compared in a
+    task group of its own, on sketches and then on the whole sets, which come along. Only links leave a group.
+    """
+    named = buckets.join(roots, "id", "left").select("id", "pivot", F.coalesce("root", "id").alias("root"))
+    pivots = roots.select(F.col("id").alias("pivot"), F.col("root").alias("r"))
+    rows = named.join(pivots, "pivot", "left").select(F.coalesce("r", "pivot").alias("region"), "id", "root").distinct()
     rows = materialize(rows, "members")
-    open_keys = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("root").alias("c")).where("r0 <> r1")
-    open_keys = materialize(open_keys.select("key", F.ceil(F.col("c") / BLOCK).alias("nb")), "open")
-    rows = rows.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), "nb"))
-    rows = rows.join(sk.select("id", "sk"), "id")
+    open_ = rows.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("root").alias("c")).where("r0 <> r1 and c > 2")
+    open_ = materialize(open_.select("region", F.ceil(F.col("c") / BLOCK).alias("nb")), "open")
+    rows = rows.join(open_, "region").withColumn("block", F.pmod(F.xxhash64("id"), "nb"))
+    rows = rows.join(sk.select("id", "sk"), "id").join(sets, "id")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block", "sk")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_compare, "a long, b long").distinct()
+    rows = rows.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block", "sk", "shingles")
+    rows = rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
+    return rows.mapInArrow(_compare(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -251,14 +289,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mine = sk.where("fp is not null").join(classes.select(F.col("rep").alias("id"), F.col("fp").alias("f")), "id").where("fp = f").select("id", "sk", "bands")
     mine = materialize(mine, "reps")
     bands = mine.select("id", F.explode("bands").alias("key"))
-    pivots = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("key", "pivot")
+    pivots = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
+    pivots = materialize(pivots.select("key", "pivot"), "pivots")  # so that the join may split a hot bucket
     buckets = materialize(bands.join(pivots, "key"), "buckets")
     wanted = buckets.select("id").distinct()
     sets = materialize(whole_sets(text.join(wanted, "id", "left_semi")), "sets")
     star = buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     links = materialize(verified(star, mine, sets, percent), "links")
     roots = components(links)
-    more = materialize(verified(unresolved_pairs(buckets, roots, mine), mine, sets, percent), "links")
+    more = materialize(unresolved_links(buckets, roots, mine, sets, percent), "links")
     if not more.isEmpty():
         roots = components(links.union(more))
     final = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("fp").alias("f"), F.coalesce("root", "rep").alias("component_id"))
