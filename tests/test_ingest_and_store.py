@@ -400,3 +400,9 @@ def test_gzip_and_whole_files(spark, tmp_path):
     assert native.parse_frame(bad, "json", NOW, on_error="skip").count() == 1
     with pytest.raises(Exception, match="invalid JSON"):
         native.parse_frame(bad, "json", NOW).count()
+
+
+def test_partial_success(spark):
+    bodies = spark.createDataFrame([(json.dumps(SPANS),), ("[",), (json.dumps(METRICS),)], "body string")
+    got = [tuple(r) for r in otlp.rejections(bodies, "traces").collect()]
+    assert got[0] == (3, 1, "span without trace id or span id", None) and got[1][3].startswith("invalid OTLP payload") and got[2] == (0, 0, None, None)

@@ -397,4 +397,21 @@ def decode_frame(bodies: DataFrame, signal: str, encoding: str = "json", now: in
     return frame_of(bodies, lambda body, at: decode(signal, body, encoding, at, limits).rows, signal, now, on_error)
 
 
+def rejections(bodies: DataFrame, signal: str, encoding: str = "json", limits: Limits = Limits()) -> DataFrame:
+    """Per request body: accepted, rejected and the reason of the first rejection, as in a partial success; error where the request is refused."""
+    from pyspark.sql import functions as F
 
+    @F.pandas_udf("accepted long, rejected long, reason string, error string")
+    def judge(column):
+        import pandas as pd
+
+        rows = []
+        for body in column:
+            try:
+                d = decode(signal, body, encoding, 0, limits)
+                rows.append((len(d.rows), d.rejected, d.reason, None))
+            except IngestError as e:
+                rows.append((0, 0, None, str(e)))
+        return pd.DataFrame(rows, columns=["accepted", "rejected", "reason", "error"])
+
+    return bodies.select(judge(F.col(bodies.columns[0])).alias("r")).select("r.*")
