@@ -195,6 +195,7 @@ def extract(h):
         ("<p>a <b>bold <i>x</b> y</i> z</p>w", "a bold x y z\nw"),
         ("<p title='a > b'>k</p><p>&copy; &#65;&#x42; &amp &am &unknown;</p>", "k\n© AB & &am &unknown;"),
         ("<article><table><tr><td>1<td>2<tr><td>3</table></article>", "1\n2\n3"),
+        ("<div class='topAdBox'>buy</div><p class='loadArea'>read</p><div id='SITEHeader'>h</div><div class='AlertBar'>n</div>", "read"),
         ("<p>cut <a href='x", "cut"),
         ("<script>var a = 1", ""),
         ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),

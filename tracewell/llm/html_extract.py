@@ -36,12 +36,12 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option
 #: What is never content: tags, roles, and words of class or id.
 SKIP_TAGS = frozenset("nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog search menu head title".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-SKIP_WORDS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments disqus respond reply replies widget toolbar pagination pager login signup masthead topbar".split())
+SKIP_WORDS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices alert alerts paywall popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments disqus respond reply replies widget toolbar pagination pager login signup masthead topbar".split())
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*+)>", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|style|itemprop|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _OPEN = re.compile(r"<[a-zA-Z/!?]")
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")  # of class and id: adBox is ad and box
 _HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
 #: A node is template from so many met pages and so large a share of equal texts on.
@@ -85,7 +85,8 @@ def _rules(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool]:
         skip = True
     if attrs and not attrs.isspace():
         for name, a, b, c in _ATTR.findall(attrs):
-            name, value = name.lower(), (a or b or c).lower()
+            name, exact = name.lower(), a or b or c
+            value = exact.lower()
             if name == "role":
                 skip, main = skip or value in SKIP_ROLES, main or value == "main"
             elif name == "itemprop":
@@ -93,7 +94,7 @@ def _rules(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool]:
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 skip = True
             elif name in ("class", "id"):
-                words = set(_WORD.findall(value))
+                words = {w.lower() for w in _WORD.findall(exact)}
                 if words & SKIP_WORDS or "header" in words and not inside_main and tag != "body":
                     skip = skip or tag not in ("html", "body")
     return skip, main

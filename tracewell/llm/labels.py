@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Rows a classifier learns from, of each label, and the longest text among them.
 PER_LABEL = 4000
-MAX_CHARS = 50_000
+MAX_CHARS = 20_000
 
 
 def held_out(id_col: str = "doc_id") -> Column:
