@@ -1,24 +1,48 @@
 """Line dedup: explode normalised lines, hash, count documents per hash, drop, reassemble by position.
 
-Only (hash, id) pairs are aggregated, with partial aggregates, so a line that a third of
-all documents share leaves each map task as one row. The dropped lines come back to their
-documents as positions; texts are shuffled once, for that join. Skewed hashes in the join
-of lines to repeated hashes are split by adaptive execution.
+Lines are cut, stripped, lower-cased and hashed (128 bits) in Arrow batches, where bytes.lower() touches just A-Z; only (hash, id)
+pairs leave. They are aggregated with partial aggregates, so a line that a third of all documents share leaves each
+map task as one row. The repeated hashes are written out; in the join of lines to them both sides are then plain shuffles,
+which adaptive execution splits where a hash is hot. The dropped lines come back to their documents as positions; texts are
+shuffled once, for that join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import SPACE, ascii_lower, fresh
+from tracewell.llm.common import SPACE, fresh, materialize
 
 _LAST_ID = 2**63 - 1
+_SPACE = SPACE.encode()
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at its ends, A-Z lower-cased."""
-    return ascii_lower(F.btrim(line, F.lit(SPACE)))
+def line_keys(text: str) -> list[bytes]:
+    r"""Of each line, \n ends them: the line without white space at its ends, A-Z lower-cased, as UTF-8."""
+    return [k.strip(_SPACE) for k in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
+
+
+def _hashed(min_chars: int):
+    """Rows (row, id, text) to a row (row, id, pos, h) per line whose key has min_chars code points."""
+
+    def run(batches):
+        import xxhash
+
+        digest = xxhash.xxh3_128_digest
+        for b in batches:
+            of, pos, h = [], [], []
+            for i, text in enumerate(b.column(2)):
+                for p, k in enumerate(line_keys(text.as_py())):
+                    if len(k) >= min_chars and (k.isascii() or len(k.decode("utf-8", "surrogatepass")) >= min_chars):
+                        of.append(i)
+                        pos.append(p)
+                        h.append(digest(k))
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32()), pa.array(h, pa.binary())], names=["row", "id", "pos", "h"])
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
@@ -33,20 +57,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row, pos = fresh(docs, "row_key"), fresh(docs, "drop_pos")
     text = F.coalesce(F.col(text_col), F.lit(""))
     own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID))
-    key = F.unhex(F.md5(F.concat(own_id.cast("string"), F.lit("|"), text)))
-    lines = docs.select(key.alias("row"), own_id.alias("id"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    lines = lines.select("row", "id", "pos", line_key(F.col("line")).alias("k")).where(F.char_length("k") >= min_chars)
-    lines = lines.select("row", "id", "pos", F.unhex(F.md5("k")).alias("h"))
+    # tells rows of one id apart
+    key = F.xxhash64(own_id, text)
+    lines = docs.select(key.alias("row"), own_id.alias("id"), text.alias("text")).mapInArrow(_hashed(min_chars), "row long, id long, pos int, h binary")
     if min_docs == 2:
         shared = lines.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
     else:
         shared = lines.groupBy("h", "id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.min("id").alias("first"), F.count("one").alias("n")).where(F.col("n") >= min_docs)
-    shared = shared.select(F.col("h").alias("sh"), "first")
+    shared = materialize(shared.select(F.col("h").alias("sh"), "first"), "repeated-lines")
     gone = lines.join(shared, (F.col("h") == F.col("sh")) & (F.col("id") != F.col("first")))
-    gone = gone.groupBy("row").agg(F.collect_set("pos").alias(pos)).withColumnRenamed("row", row)
-    left = docs.select("*", key.alias(f"{row}_"))
-    joined = left.join(gone, left[f"{row}_"] == gone[row], "left").drop(row, f"{row}_")
-    parts, n = F.split(text, "\n", -1), F.size(F.split(text, "\n", -1))
+    gone = gone.groupBy("row", "id").agg(F.collect_set("pos").alias(pos)).select(F.col("row").alias(row), F.col("id").alias(f"{row}_id"), pos)
+    left = docs.select("*", key.alias(f"{row}_"), own_id.alias(f"{row}_own"))
+    joined = left.join(gone, (left[f"{row}_"] == gone[row]) & (left[f"{row}_own"] == gone[f"{row}_id"]), "left").drop(row, f"{row}_", f"{row}_id", f"{row}_own")
+    parts = F.split(text, "\n", -1)
+    n = F.size(parts)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col(pos)), lambda i: F.get(parts, i))
     new_text = F.when(F.col(pos).isNull(), text).otherwise(F.array_join(kept, "\n"))
     dropped = F.when(F.col(pos).isNull(), F.lit(0)).otherwise(F.size(pos))
