@@ -19,13 +19,15 @@ from tracewell.llm.common import fresh, slices
 from tracewell.llm.labels import MAX_CHARS, PER_LABEL, held_out, training_rows
 from tracewell.llm.words import mix, prefix_sums
 
-BITS, DIM, EPOCHS, BATCH, RATE = 18, 4, 8, 128, 0.02
+BITS, DIM, STEPS, BATCH, RATE = 18, 4, 380, 128, 0.02
 #: What a document's mean is multiplied by: the few telling words among hundreds must move the softmax in a few steps.
-SCALE = 100.0
+SCALE = 300.0
 #: Words of no meaning that every mean holds besides a document's own, so that a few words decide nothing by chance.
-NEUTRAL = 25
+NEUTRAL = 20
+#: Documents of the training rows that an n-gram must stand in to count.
+MIN_DOCS = 5
 #: Adam's floor: n-grams of small, rare gradients stay near zero.
-FLOOR = 1e-4
+FLOOR = 3e-3
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.5
 
@@ -136,22 +138,27 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return unique, np.bincount(which, weight)
 
 
-def train(rows: list[tuple[str, int]], dim: int = DIM, epochs: int = EPOCHS, seed: int = 5) -> Model:
-    """Vectors and softmax weights together, by Adam on the log loss.
+def train(rows: list[tuple[str, int]], dim: int = DIM, least_steps: int = STEPS, seed: int = 5) -> Model:
+    """Vectors and softmax weights together, by Adam on the log loss, in which both labels weigh the same in all.
 
     Without both labels there is nothing to tell apart: every score is then the one label's, or 0.
     """
     labels = np.array([y for _, y in rows], np.float64)
     if not len(rows) or labels.min() == labels.max():
         return Model(np.zeros(1 << BITS, np.float32), 3.0 if len(rows) and labels[0] == 1 else -3.0)
+    toxic_weight = (labels == 0).sum() / (labels == 1).sum()
     rng = np.random.Generator(np.random.PCG64(seed))
     bags = [_bag(t) for t, _ in rows]
+    # what stands in a few documents can only be learnt by heart
+    usual = sum(np.bincount(b, minlength=1 << BITS) for b, _ in bags) >= MIN_DOCS
+    bags = [(b[keep], w[keep]) for b, w in bags for keep in (usual[b],)]
     vectors = rng.uniform(-0.001, 0.001, (1 << BITS, dim)).astype(np.float32)
     head = np.zeros((2, dim), np.float32)
     head[1] = rng.uniform(-1, 1, dim)
     head[0] = -head[1]
     bias = np.zeros(2, np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, head, bias)]
+    epochs = -(-least_steps // -(-len(rows) // BATCH))
     step, steps = 0, epochs * -(-len(rows) // BATCH)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -165,7 +172,7 @@ def train(rows: list[tuple[str, int]], dim: int = DIM, epochs: int = EPOCHS, see
             mean = np.stack([np.bincount(doc, weights * vectors[buckets, d], len(some)) for d in range(dim)], 1).astype(np.float32)
             logits = mean @ head.T + bias
             p = 1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -30, 30)))
-            err = ((p - labels[some]) / len(some)).astype(np.float32)
+            err = ((p - labels[some]) * np.where(labels[some] == 1, toxic_weight, 1.0) / len(some)).astype(np.float32)
             both = np.stack([-err, err], 1)
             hidden = both @ head
             flow = np.stack([np.bincount(place, weights * hidden[doc, d], len(used)) for d in range(dim)], 1).astype(np.float32)
