@@ -26,6 +26,17 @@ def _fixed(view: View) -> dict[str, Column]:
     return {k: v for k, v in out.items() if v is not None}
 
 
+_ENTRIES = "array<struct<field:string,pos:int,value:string>>"
+
+
+def _entry(field: str, pos: int, value: Column) -> Column:
+    return F.struct(F.lit(field).alias("field"), F.lit(pos).alias("pos"), value.cast("string").alias("value"))
+
+
+def _elements(field: str, pos: int, values: Column) -> Column:
+    return F.coalesce(F.transform(values, lambda x: _entry(field, pos, x)), F.array().cast(_ENTRIES))
+
+
 def facets(view: View, e: Expr | None = None, start: int | None = None, stop: int | None = None, sample: int = SAMPLE, top: int = TOP_VALUES, only: list[str] | None = None) -> DataFrame:
     """Per listed value: rank (of the field), field, events (that have the field), truncated, value_rank, value, count.
 
@@ -39,23 +50,20 @@ def facets(view: View, e: Expr | None = None, start: int | None = None, stop: in
     newest_rows = newest(view, e, start, stop, sample)
     order = Window.orderBy(view.columns["timestamp"].desc(), F.col("id").desc())
     rows = newest_rows.withColumn("_n", F.row_number().over(order))
-    entries = [F.struct(F.lit(k).alias("field"), F.lit(i).alias("pos"), v.cast("string").alias("value")) for i, (k, v) in enumerate((k, v) for k, v in _fixed(view).items() if only is None or k in only)]
-    parts = [rows.select("_n", F.explode(F.array(*entries)).alias("f"))] if entries else []
+    arrays = [F.array(_entry(k, i, v)) for i, (k, v) in enumerate(_fixed(view).items()) if only is None or k in only]
     if only is None or any(f not in WELL_KNOWN for f in only):
         for i, (path, (kind, col)) in enumerate(sorted(view.typed.items())):
             if only is None or path in only:
-                values = col if kind == "texts" else F.array(col.cast("string"))
-                parts.append(rows.select("_n", F.explode(values).alias("x")).select("_n", F.struct(F.lit(path).alias("field"), F.lit(100 + i).alias("pos"), F.col("x").cast("string").alias("value")).alias("f")))
+                arrays.append(_elements(path, 100 + i, col) if kind == "texts" else F.array(_entry(path, 100 + i, col)))
         if view.attributes and "leaf_list" in view.df.columns:
             # leaf_list: (path, text) of every scalar in document order, arrays walked
-            leaf = rows.select("_n", F.posexplode("leaf_list").alias("k", "l")).select("_n", F.struct(F.col("l.path").alias("field"), (F.col("k") + 1000).cast("int").alias("pos"), F.col("l.text").alias("value")).alias("f"))
-            parts.append(leaf if only is None else leaf.where(F.col("f.field").isin(list(only))))
-    if not parts or only == []:
+            leaf = F.transform("leaf_list", lambda x, k: F.struct(x["path"].alias("field"), (k + 1000).alias("pos"), x["text"].alias("value")))
+            leaf = leaf if only is None else F.filter(leaf, lambda x: x["field"].isin(list(only)))
+            arrays.append(F.coalesce(leaf, F.array().cast(_ENTRIES)))
+    if not arrays:
         return view.df.sparkSession.createDataFrame([], "rank int, field string, events long, truncated boolean, value_rank int, value string, count long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    found = found.select("_n", "f.field", "f.pos", "f.value").where("value is not null")
+    # one pass over the sample makes all (event, field, value) rows
+    found = rows.select("_n", F.explode(F.concat(*arrays)).alias("f")).select("_n", "f.field", "f.pos", "f.value").where("value is not null")
     at = F.struct("_n", "pos")
     values = found.groupBy("field", "value").agg(F.count("*").alias("count"), F.min(at).alias("first"))
     fields = found.groupBy("field").agg(F.countDistinct("_n").alias("events"), F.min(at).alias("met"))

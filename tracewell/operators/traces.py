@@ -55,17 +55,19 @@ def summarize(spans: DataFrame, cap: int | None = SUMMARY_SPANS) -> DataFrame:
 def trace_search(view: View, e: Expr | None = None, start: int | None = None, stop: int | None = None, limit: int = DEFAULT_TRACES) -> DataFrame:
     """Summaries of the traces of the newest matching spans, latest start first.
 
-    Phase 1 takes the 10,000 newest matches and from them the `limit` traces last seen; phase 2 joins all
-    spans near those times to the chosen ids, at most 200, which are broadcast. The request's range bounds phase 1 only.
+    Phase 1, which runs at once, takes the 10,000 newest matches and from them the `limit` traces last seen, at most 200;
+    phase 2 filters the spans near those times by the ids, as literals that Parquet prunes with. The request's range bounds phase 1 only.
     """
     limit = max(1, min(limit, MAX_TRACES))
     hits = newest(view, e, start, stop, PAGE_ROWS).select(view.columns["traceId"].alias("trace_id"), view.columns["timestamp"].alias("ts"), "id").where("trace_id is not null")
     chosen = hits.groupBy("trace_id").agg(F.max(F.struct("ts", "id")).alias("seen"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).orderBy(F.desc("seen")).limit(limit)
-    window = chosen.agg((F.min("lo") - HOUR).alias("from"), (F.max("hi") + HOUR).alias("to"))
-    picked = chosen.join(F.broadcast(window)).select(F.col("trace_id").alias("chosen"), "seen", "from", "to")
-    spans = _spans(view, view.df)
-    near = spans.join(F.broadcast(picked.select("chosen", "from", "to")), (F.col("trace_id") == F.col("chosen")) & (F.col("ts") >= F.col("from")) & (F.col("ts") <= F.col("to"))).drop("chosen", "from", "to")
-    out = summarize(near).join(F.broadcast(picked.select(F.col("chosen").alias("trace_id"), "seen")), "trace_id")
+    picked = chosen.collect()  # at most 200 rows
+    if not picked:
+        return summarize(_spans(view, view.df.where(F.lit(False))))
+    lo, hi = min(r["lo"] for r in picked) - HOUR, max(r["hi"] for r in picked) + HOUR
+    near = matching(view, None, lo, hi + 1).where(view.columns["traceId"].isin([r["trace_id"] for r in picked]))
+    seen = view.df.sparkSession.createDataFrame([(r["trace_id"], -i) for i, r in enumerate(picked)], "trace_id string, seen int")
+    out = summarize(_spans(view, near)).join(F.broadcast(seen), "trace_id")
     return out.orderBy(F.desc("start"), F.desc("seen")).drop("seen")
 
 
