@@ -138,6 +138,24 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return unique, np.bincount(which, weight)
 
 
+def _all_bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bags of all texts end to end, and where each begins; n-grams of fewer than MIN_DOCS texts, which can only be learnt by heart, are left out."""
+    parts: list[tuple] = []
+    sizes, some = [], []
+    for k, t in enumerate(texts, 1):
+        bucket, weight = _bag(t)
+        some.append((bucket.astype(np.int32), weight.astype(np.float32)))
+        sizes.append(len(bucket))
+        if k % 256 == 0 or k == len(texts):  # few large arrays instead of many small ones: the driver gets their memory back
+            parts.append(tuple(map(np.concatenate, zip(*some, strict=True))))
+            some = []
+    buckets, weights = map(np.concatenate, zip(*parts, strict=True))
+    del parts
+    kept = (np.bincount(buckets, minlength=1 << BITS) >= MIN_DOCS)[buckets]
+    doc = np.repeat(np.arange(len(texts)), sizes)[kept]
+    return buckets[kept], weights[kept], np.searchsorted(doc, np.arange(len(texts) + 1))
+
+
 def train(rows: list[tuple[str, int]], dim: int = DIM, least_steps: int = STEPS, seed: int = 5) -> Model:
     """Vectors and softmax weights together, by Adam on the log loss, in which both labels weigh the same in all.
 
@@ -148,10 +166,7 @@ def train(rows: list[tuple[str, int]], dim: int = DIM, least_steps: int = STEPS,
         return Model(np.zeros(1 << BITS, np.float32), 3.0 if len(rows) and labels[0] == 1 else -3.0)
     toxic_weight = (labels == 0).sum() / (labels == 1).sum()
     rng = np.random.Generator(np.random.PCG64(seed))
-    bags = [_bag(t) for t, _ in rows]
-    # what stands in a few documents can only be learnt by heart
-    usual = sum(np.bincount(b, minlength=1 << BITS) for b, _ in bags) >= MIN_DOCS
-    bags = [(b[keep], w[keep]) for b, w in bags for keep in (usual[b],)]
+    buckets_of, weights_of, begin = _all_bags([t for t, _ in rows])
     vectors = rng.uniform(-0.001, 0.001, (1 << BITS, dim)).astype(np.float32)
     head = np.zeros((2, dim), np.float32)
     head[1] = rng.uniform(-1, 1, dim)
@@ -164,10 +179,9 @@ def train(rows: list[tuple[str, int]], dim: int = DIM, least_steps: int = STEPS,
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), BATCH):
             some = order[at : at + BATCH]
-            buckets = np.concatenate([bags[k][0] for k in some])
-            weights = np.concatenate([bags[k][1] for k in some]).astype(np.float32) * np.float32(SCALE)
-            sizes = np.array([len(bags[k][0]) for k in some])
-            doc = np.repeat(np.arange(len(some)), sizes)
+            buckets = np.concatenate([buckets_of[begin[k] : begin[k + 1]] for k in some])
+            weights = np.concatenate([weights_of[begin[k] : begin[k + 1]] for k in some]) * np.float32(SCALE)
+            doc = np.repeat(np.arange(len(some)), begin[some + 1] - begin[some])
             used, place = np.unique(buckets, return_inverse=True)
             mean = np.stack([np.bincount(doc, weights * vectors[buckets, d], len(some)) for d in range(dim)], 1).astype(np.float32)
             logits = mean @ head.T + bias
