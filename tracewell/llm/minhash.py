@@ -39,7 +39,7 @@ _RNG = np.random.Generator(np.random.PCG64(20_240_229))
 _PLACE = _RNG.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TURN = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _RNG.integers(0, 2**63, (BANDS, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 
 def word_hashes(raw: bytes) -> np.ndarray:

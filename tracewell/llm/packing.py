@@ -31,7 +31,7 @@ from tracewell.llm.common import slices, tokenizer_path
 CAPACITY = 4096
 SMALLEST_CLASS = 16
 #: Words whose ids a worker remembers; those beyond are encoded each time they come.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 
 #: A fixed value of the vocabulary: how word_bpe splits lower-cased text, over ASCII and Latin-1 letters.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r a-z0-9ªµºß-öø-ÿ²³¹¼½¾]+")
@@ -200,7 +200,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         for b in batches:
             id_type = b.schema.field(0).type
             keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for i, j in slices(list(map(len, texts)), 4 << 20):
+            for i, j in slices(list(map(len, texts)), 1 << 20):
                 for key, ids in zip(keys[i:j], enc.encode(texts[i:j]), strict=True):
                     packer.add((key, ids + end), len(ids) // 4 + 1)
                     if packer.held >= buffer_tokens:

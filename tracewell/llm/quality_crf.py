@@ -31,7 +31,7 @@ LAGS = (1, 2, 3)
 #: Shares of the classes, repeats at each lag, log of length, words per line on a log scale, and one.
 N_OWN = len(CLASSES) + len(LAGS) + 2
 N_ALL = 3 * N_OWN + 3
-_MANY = 4 << 20
+_MANY = 1 << 20
 
 
 def line_features(texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray]:

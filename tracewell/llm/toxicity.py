@@ -43,7 +43,7 @@ for _c in range(256):
         _VALUE[_c] = _VALUE[32]
 for _c in range(ord("A"), ord("Z") + 1):
     _VALUE[_c] = _VALUE[_c + 32]
-_MANY = 4 << 20
+_MANY = 1 << 20
 
 
 def _bags(raw: bytes, bounds: np.ndarray):
