@@ -4,6 +4,7 @@ import base64
 import json
 import struct
 import threading
+from collections import Counter
 
 import pytest
 
@@ -406,3 +407,20 @@ def test_partial_success(spark):
     bodies = spark.createDataFrame([(json.dumps(SPANS),), ("[",), (json.dumps(METRICS),)], "body string")
     got = [tuple(r) for r in otlp.rejections(bodies, "traces").collect()]
     assert got[0] == (3, 1, "span without trace id or span id", None) and got[1][3].startswith("invalid OTLP payload") and got[2] == (0, 0, None, None)
+
+
+@pytest.mark.parametrize("round_trip, cols", [("ndjson_round_trip", "CAST(user_id AS VARCHAR), value"), ("otlp_round_trip", "CAST(k AS VARCHAR)")])
+def test_every_event_goes_through_ingest(spark, round_trip, cols):
+    """The registered queries and their SQL keep a tenth; this is the whole table."""
+    import duckdb
+
+    from tracewell import queries
+    from tracewell.sources import views
+
+    sf = "/root/testdata/sf0.001"
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+        want = db.execute(f"WITH {queries.LOGS} SELECT ts_ns, service, message, trace_id, level, {cols} FROM logs").fetchall()
+        n = db.execute("SELECT count(*) FROM events").fetchone()[0]
+    got = [tuple(r) for r in getattr(queries, round_trip)(views.logs(spark, sf).df).collect()]
+    assert len(got) == n and Counter(got) == Counter(want)

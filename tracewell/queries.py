@@ -328,35 +328,43 @@ def render_event_json(spark, sf_dir):
     return v.df.select("id", event_json(v).alias("json"))
 
 
-@query(f"WITH {LOGS} SELECT ts_ns, service, message, trace_id, level, CAST(user_id AS VARCHAR) AS user, value FROM logs WHERE id % 10 = 0")
-def ingest_ndjson(spark, sf_dir):
-    """A tenth of the events written as NDJSON and read back through ingest."""
+def ndjson_round_trip(logs: DataFrame) -> DataFrame:
+    """All rows of logs written as NDJSON and read back through ingest."""
     from tracewell.sources.native import parse_frame
 
-    v = views.logs(spark, sf_dir)
     props = F.struct(F.col("user_id").alias("user"), F.struct("value").alias("m"))
     line = F.to_json(F.struct(F.col("ts_ns").alias("timestamp"), level_name_col(F.col("level")).alias("@l"), "service", "message", F.upper("trace_id").alias("traceId"), props.alias("properties")))
-    rows = parse_frame(v.df.where("id % 10 = 0").select(line.alias("body")), "ndjson")
+    rows = parse_frame(logs.select(line.alias("body")), "ndjson")
     text = lambda path: F.element_at("attr", path)["txt"]
     return rows.select("ts_ns", "service", "message", "trace_id", F.col("level").cast("int").alias("level"), text("user").alias("user"), text("m.value").cast("double").alias("value"))
 
 
-@query(f"WITH {LOGS} SELECT ts_ns, service, message, trace_id, level, CAST(k AS VARCHAR) AS k FROM logs WHERE id % 10 = 1")
-def ingest_otlp_logs(spark, sf_dir):
-    """A tenth of the events as OpenTelemetry JSON requests, one record each, decoded."""
+def otlp_round_trip(logs: DataFrame) -> DataFrame:
+    """All rows of logs as OpenTelemetry JSON requests, one record each, decoded."""
     from tracewell.sources.otlp import decode_frame
 
     def kv(name, kind, value):
         return F.struct(F.lit(name).alias("key"), F.struct(value.alias(kind)).alias("value"))
 
-    v = views.logs(spark, sf_dir)
     record = F.struct(F.col("ts_ns").cast("string").alias("timeUnixNano"), (F.col("level") * 4).alias("severityNumber"), F.struct(F.col("message").alias("stringValue")).alias("body"), F.col("trace_id").alias("traceId"), F.array(kv("k", "intValue", F.col("k").cast("string"))).alias("attributes"))
     resource = F.struct(F.array(kv("service.name", "stringValue", F.col("service"))).alias("attributes"))
     body = F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs")))
-    rows = decode_frame(v.df.where("id % 10 = 1").select(body.alias("body")), "logs")
+    rows = decode_frame(logs.select(body.alias("body")), "logs")
     return rows.select("ts_ns", "service", "message", "trace_id", F.col("level").cast("int").alias("level"), F.element_at("attr", "k")["txt"].alias("k"))
 
 
+@query(f"WITH {LOGS} SELECT ts_ns, service, message, trace_id, level, CAST(user_id AS VARCHAR) AS user, value FROM logs WHERE id % 10 = 0")
+def ingest_ndjson(spark, sf_dir):
+    """A tenth of the events, as its SQL has it; ndjson_round_trip takes all."""
+    return ndjson_round_trip(views.logs(spark, sf_dir).df.where("id % 10 = 0"))
+
+
+@query(f"WITH {LOGS} SELECT ts_ns, service, message, trace_id, level, CAST(k AS VARCHAR) AS k FROM logs WHERE id % 10 = 1")
+def ingest_otlp_logs(spark, sf_dir):
+    """A tenth of the events, as its SQL has it; otlp_round_trip takes all."""
+    return otlp_round_trip(views.logs(spark, sf_dir).df.where("id % 10 = 1"))
+
+
 @query(f"""WITH {LOGS}, w AS (SELECT ts_ns // 21600000000000 * 21600000000000 AS start, CAST(count(*) AS DOUBLE) AS value FROM logs WHERE level = 5 GROUP BY 1)
 SELECT start, value, CASE WHEN value > 15 THEN 'FIRING' ELSE 'OK' END AS status FROM w""")
 def stream_alert_windows(spark, sf_dir):
