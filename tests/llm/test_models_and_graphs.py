@@ -243,6 +243,36 @@ def test_copies_of_one_page_keep_their_text(spark):
     assert all(text in r.text for r in html_extract.main_text(df).collect())
 
 
+def host_texts(spark, pages):
+    df = spark.createDataFrame([(i, f"https://a.org/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_extract.main_text(df.repartition(3)).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<article><p>one</p></article><p>out</p><article><p>two, longer</p></article>", "one\ntwo, longer"),
+        ("<div itemprop=articleBody>one</div><p>out</p><div itemprop=articleBody>two</div>", "one\ntwo"),
+        ("<main><h1>Title</h1><p>Lead</p><div>widget</div><article><p>text</p></article><h2>More</h2></main>", "Title\nLead\ntext"),
+        ("<main><p>a</p><div><p>b</p></div></main><p>out</p>", "a\nb"),
+    ],
+)
+def test_all_marked_articles_count(html, text):
+    assert extract(html) == text
+
+
+def test_induction_decides_on_marked_pages(spark):
+    words = lambda i, k: " ".join(f"w{i}{k}{j}" for j in range(12))
+    # constant text in the article is template; a region that holds the mark counts whole
+    pages = [f"<body><div>Site</div><article><p>Read our terms first</p><p>{words(i, 'a')}</p><p>{words(i, 'b')}</p></article></body>" for i in range(8)]
+    assert host_texts(spark, pages) == [f"{words(i, 'a')}\n{words(i, 'b')}" for i in range(8)]
+    pages = [f"<body><div>Site</div><div><div>{words(i, 'a')}</div><article>{words(i, 'b')}</article></div></body>" for i in range(8)]
+    assert host_texts(spark, pages) == [f"{words(i, 'a')}\n{words(i, 'b')}" for i in range(8)]
+    # near copies of one article: the template would take most of it
+    pages = [f"<body><article><p>{words(0, 'a')}</p><p>{words(0, 'b')}</p><p>{i}</p></article></body>" for i in range(8)]
+    assert host_texts(spark, pages) == [f"{words(0, 'a')}\n{words(0, 'b')}\n{i}" for i in range(8)]
+
+
 def test_tree_matching_is_the_largest():
     def tree(spec):
         b = html_extract.Block(spec[0])

@@ -7,8 +7,9 @@ much text stood there. Nodes that stay the same are template; nodes that vary ar
 deepest node that holds most of the varying text. A page's content are its slots in the region.
 
 A check by markup follows: menus, page headers, footers, asides, forms, adverts, notices and comments
-(by tag, role, or a word of class or id) are never content, though their text may vary; and where a page marks its article
-(article, main, role=main), exactly that element is the region, constant paragraphs included.
+(by tag, role, or a word of class or id) are never content, though their text may vary; and the elements that a page marks as its
+article (article, main, role=main, itemprop=articleBody) are held against the induced region and template: marked text outside the
+region is content too, and a template that takes most of the marked text (copies of one article) is not applied.
 
 The counts of all pages are sums with a row per task and node; only the reference pages travel, broadcast when
 their measured size allows it, else by a join whose hot hosts are salted.
@@ -27,6 +28,7 @@ from tracewell.llm.common import materialize
 
 #: Fixed values of the format.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul button caption".split())
 SCOPE = BLOCK - frozenset("p li dt dd option tr td th thead tbody tfoot h1 h2 h3 h4 h5 h6".split())
@@ -50,16 +52,20 @@ REGION = 0.6
 #: Reference pages up to so many bytes in all are broadcast.
 BROADCAST_BYTES = 32 << 20
 MAX_GRID = 40_000
+#: Kinds of marks, in Block.main.
+ARTICLE, MAIN = 1, 2
+#: A template that takes more than this share of the marked text is not applied to it.
+MOST = 0.5
 
 
 class Block:
-    """A block element: its tag, whether markup rules it out, and its items: runs of text and blocks, in order."""
+    """A block element: its tag, whether markup rules it out or marks it, and its items: runs of text and blocks, in order."""
 
     __slots__ = ("tag", "skip", "main", "items", "parent", "shape", "number", "own")
 
     def __init__(self, tag: str, parent: Block | None = None):
         self.tag, self.parent = tag, parent
-        self.skip = self.main = False
+        self.skip, self.main = False, 0
         self.items: list = []
         self.shape = self.number = -1
         self.own: str | None = None
@@ -78,9 +84,9 @@ def clean(run: list[str]) -> str:
     return " ".join(unescape("".join(run)).split()) if "&" in (s := "".join(run)) else " ".join(s.split())
 
 
-def _rules(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool]:
-    """(ruled out, marked as the article)."""
-    skip, main = tag in SKIP_TAGS, tag in ("article", "main")
+def _rules(tag: str, attrs: str, inside_main: bool) -> tuple[bool, int]:
+    """(ruled out, marked as ARTICLE or MAIN)."""
+    skip, main = tag in SKIP_TAGS, {"article": ARTICLE, "main": MAIN}.get(tag, 0)
     if tag == "header" and not inside_main:
         skip = True
     if attrs and not attrs.isspace():
@@ -88,9 +94,9 @@ def _rules(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool]:
             name, exact = name.lower(), a or b or c
             value = exact.lower()
             if name == "role":
-                skip, main = skip or value in SKIP_ROLES, main or value == "main"
+                skip, main = skip or value in SKIP_ROLES, main or MAIN * (value == "main")
             elif name == "itemprop":
-                main = main or value == "articlebody"
+                main = main or ARTICLE * (value == "articlebody")
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 skip = True
             elif name in ("class", "id"):
@@ -253,16 +259,36 @@ def _ruled_out(b: Block | None) -> bool:
     return False
 
 
-def _size(b: Block) -> int:
-    return 0 if b.skip else len(b.text()) + sum(map(_size, b.blocks()))
+def _size(b: Block, template: set[int] = frozenset()) -> int:
+    """Characters of text in b that are neither ruled out nor of the template."""
+    size, todo = 0, [b]
+    while todo:
+        x = todo.pop()
+        if not x.skip:
+            size += len(x.text()) if x.number not in template else 0
+            todo += x.blocks()
+    return size
 
 
-def marked_article(order: list[Block]) -> Block | None:
-    """The element that the page marks as its article: of the innermost marks the one with most text."""
+def marked_articles(order: list[Block]) -> list[Block]:
+    """The elements that the page marks as its article, outermost and in page order, with the headings and leads that their main holds before them."""
     marks = [b for b in order if b.main and not _ruled_out(b)]
-    articles = [b for b in marks if b.tag == "article"] or marks
-    outer = [b for b in articles if not any(p in articles for p in _above(b))]
-    return max(outer, key=_size, default=None)
+    if not any(b.tag == "article" for b in marks):
+        return _outermost(marks)
+    found = [b for b in marks if b.main != MAIN]
+    last = max(b.number for b in found)
+    mains = {b for b in marks if b.main == MAIN and any(b in _above(a) for a in found)}
+    if mains:
+        for b in order[: last]:
+            head = b.tag in HEADINGS or b.tag == "p" and b.parent in mains
+            if head and not _ruled_out(b) and any(a in mains for a in _above(b)):
+                found.append(b)
+    return _outermost(sorted(found, key=lambda b: b.number))
+
+
+def _outermost(blocks: list[Block]) -> list[Block]:
+    held = set(blocks)
+    return [b for b in blocks if not any(a in held for a in _above(b))]
 
 
 def _above(b: Block):
@@ -303,17 +329,22 @@ def extract(page: str | None, reference: list[Block] | None, counts: dict[int, t
                 template.add(b.number)
             if a.number == region:
                 top = b
-    if (marked := marked_article(order)) is not None:
-        top, template = marked, set()
-    lines = _lines(top, template)
-    if not lines and (template or top is not root):  # copies of one page have no varying text, and a page may differ from its host's others
-        lines = _lines(top, set()) or _lines(root, template) or _lines(root, set())
+    tops = [top]
+    if marks := marked_articles(order):
+        # no region (all of the page), or marked text outside it: the marks are the region
+        if top.tag in ("#page", "html", "body") or not all(m is top or top in _above(m) for m in marks):
+            tops = marks
+        if sum(_size(m, template) for m in marks) < (1 - MOST) * sum(map(_size, marks)):
+            template = set()
+    lines = _lines(tops, template)
+    if not lines and (template or tops != [root]):  # copies of one page have no varying text, and a page may differ from its host's others
+        lines = _lines(tops, set()) or _lines([root], template) or _lines([root], set())
     return "\n".join(lines)
 
 
-def _lines(top: Block, template: set[int]) -> list[str]:
+def _lines(tops: list[Block], template: set[int]) -> list[str]:
     out: list[str] = []
-    todo: list = [top] if not _ruled_out(top) else []
+    todo: list = [top for top in reversed(tops) if not _ruled_out(top)]
     while todo:
         x = todo.pop()
         if type(x) is not Block:
