@@ -261,6 +261,31 @@ def test_all_marked_articles_count(html, text):
     assert extract(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div class='content has-sidebar'><article><p>text</p></article><div class=sidebar>s</div></div>", "text"),
+        ("<div id=page class='site no-sidebar'><div class=social-wrap><article>text</article></div></div><div class=comments>c</div>", "text"),
+        ("<article class='post no-comments category-social'><p>text</p><div class=share>s</div></article>", "text"),
+        ("<article class='post'>one</article><article class='post category-social'>two</article><article class=comment id=comment-12>c</article>", "one\ntwo"),
+        ("<article>text</article><div id=comments><article class=comment-body>a long, long comment</article></div>", "text"),
+        ("<div class='content has-sidebar'><p>long text of the page</p><div class=sidebar>side</div></div><div class=related>r</div>", "long text of the page"),
+        ("<nav>a menu that is longer than the text</nav><div class='wrap no-sidebar'><p>text</p></div>", "text"),
+        ("<form class=content><article>f</article></form><p>text</p>", "text"),
+    ],
+)
+def test_class_words_rule_out_no_page(html, text):
+    assert extract(html) == text
+
+
+def test_class_words_rule_out_no_region(spark):
+    words = lambda i, k, n=12: " ".join(f"w{i}{k}{j}" for j in range(n))
+    tail = lambda i: f"<div>{'Contact us at the office. ' * 40}</div>"
+    # the region's element has a telling class on one page of the host only, and little of that page's text
+    pages = [f"<body><div class='{'text promo' if i == 7 else 'text'}'><div>{words(i, 'a')}</div><div>{words(i, 'b')}</div></div>{tail(i)}</body>" for i in range(9)]
+    assert host_texts(spark, pages) == [f"{words(i, 'a')}\n{words(i, 'b')}" for i in range(9)]
+
+
 def test_induction_decides_on_marked_pages(spark):
     words = lambda i, k: " ".join(f"w{i}{k}{j}" for j in range(12))
     # constant text in the article is template; a region that holds the mark counts whole

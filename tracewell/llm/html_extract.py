@@ -7,7 +7,8 @@ much text stood there. Nodes that stay the same are template; nodes that vary ar
 deepest node that holds most of the varying text. A page's content are its slots in the region.
 
 A check by markup follows: menus, page headers, footers, asides, forms, adverts, notices and comments
-(by tag, role, or a word of class or id) are never content, though their text may vary; and the elements that a page marks as its
+(by tag, role, or a word of class or id) are never content, though their text may vary; but a word alone doesn't rule out what holds the
+page's marked articles, the induced region, or, without marks, most of the text. And the elements that a page marks as its
 article (article, main, role=main, itemprop=articleBody) are held against the induced region and template: marked text outside the
 region is content too, and a template that takes most of the marked text (copies of one article) is not applied.
 
@@ -54,18 +55,18 @@ BROADCAST_BYTES = 32 << 20
 MAX_GRID = 40_000
 #: Kinds of marks, in Block.main.
 ARTICLE, MAIN = 1, 2
-#: A template that takes more than this share of the marked text is not applied to it.
+#: A template that takes more than this share of the marked text is not applied to it; a block with more of the page's text than this is no side matter.
 MOST = 0.5
 
 
 class Block:
-    """A block element: its tag, whether markup rules it out or marks it, and its items: runs of text and blocks, in order."""
+    """A block element: its tag, whether markup rules it out (worded: only a word of class or id does) or marks it, and its items: runs of text and blocks, in order."""
 
-    __slots__ = ("tag", "skip", "main", "items", "parent", "shape", "number", "own")
+    __slots__ = ("tag", "skip", "worded", "main", "items", "parent", "shape", "number", "own")
 
     def __init__(self, tag: str, parent: Block | None = None):
         self.tag, self.parent = tag, parent
-        self.skip, self.main = False, 0
+        self.skip, self.worded, self.main = False, False, 0
         self.items: list = []
         self.shape = self.number = -1
         self.own: str | None = None
@@ -84,8 +85,9 @@ def clean(run: list[str]) -> str:
     return " ".join(unescape("".join(run)).split()) if "&" in (s := "".join(run)) else " ".join(s.split())
 
 
-def _rules(tag: str, attrs: str, inside_main: bool) -> tuple[bool, int]:
-    """(ruled out, marked as ARTICLE or MAIN)."""
+def _rules(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool, int]:
+    """(ruled out by tag or attribute, by a word of class or id, marked as ARTICLE or MAIN)."""
+    some = whole = False
     skip, main = tag in SKIP_TAGS, {"article": ARTICLE, "main": MAIN}.get(tag, 0)
     if tag == "header" and not inside_main:
         skip = True
@@ -101,9 +103,11 @@ def _rules(tag: str, attrs: str, inside_main: bool) -> tuple[bool, int]:
                 skip = True
             elif name in ("class", "id"):
                 words = {w.lower() for w in _WORD.findall(exact)}
-                if words & SKIP_WORDS or "header" in words and not inside_main and tag != "body":
-                    skip = skip or tag not in ("html", "body")
-    return skip, main
+                if words & SKIP_WORDS or "header" in words and not inside_main:
+                    some = True
+                    whole = whole or any(own and all(w in SKIP_WORDS or w.isdigit() for w in own) for own in ([w.lower() for w in _WORD.findall(name)] for name in exact.split()))
+    # of a mark's own names only one made of such words alone counts: comment, but not no-comments
+    return skip, (whole if main else some) and tag not in ("html", "body"), main
 
 
 def parse(page: str | None) -> Block:
@@ -112,6 +116,8 @@ def parse(page: str | None) -> Block:
     page = page or ""
     stack: list[tuple[str, Block]] = [("#page", root)]  # open elements, inline ones with the block they are in
     here, run = root, None
+    worded: list[Block] = []
+    marks: list[Block] = []
 
     def put(text: str) -> None:
         nonlocal run
@@ -168,10 +174,14 @@ def parse(page: str | None) -> Block:
                 elif stack[k][0] in SCOPE:
                     break
         inside = any(b.main for _, b in stack)
-        skip, main = _rules(tag, attrs, inside)
-        if tag in BLOCK or skip or main:
+        skip, word, main = _rules(tag, attrs, inside)
+        if tag in BLOCK or skip or word or main:
             block = Block(tag, here)
-            block.skip, block.main = skip, main
+            block.skip, block.worded, block.main = skip or word, word and not skip, main
+            if block.worded:
+                worded.append(block)
+            if main:
+                marks.append(block)
             here.items.append(block)
             here, run = block, None
             if tag == "hr":
@@ -184,9 +194,30 @@ def parse(page: str | None) -> Block:
     if at < len(page):
         cut = _OPEN.search(page, at)  # a tag that the page's end cuts off is no text
         put(page[at : cut.start() if cut else len(page)])
+    if worded:
+        _release(root, worded, marks)
     return root
 
 
+def _release(root: Block, worded: list[Block], marks: list[Block]) -> None:
+    """Lets the blocks of worded count again that hold all marked articles that count, or, without any, most of the page's text."""
+    live = [m for m in marks if not any(b.skip and not b.worded for b in (m, *_above(m)))]
+    if live:
+        if all(map(_ruled_out, live)):  # else those in a block of comments or related pages stay out
+            for m in live:
+                for b in (m, *_above(m)):
+                    b.skip = b.skip and not b.worded
+        return
+    order, sizes = [root], {}
+    for b in order:
+        order += [c for c in b.blocks() if not c.skip or c.worded]
+    for b in reversed(order):
+        sizes[b] = len(b.text()) + sum(sizes.get(c, 0) for c in b.blocks())
+    for b in worded:
+        if sizes.get(b, 0) > MOST * sizes[root]:
+            b.skip = False
+
+
 def number(root: Block, shapes: dict) -> list[Block]:
     """The blocks in page order, with numbers, and with shapes: equal where tags agree all the way down."""
     order, todo = [], [root]
@@ -329,6 +360,8 @@ def extract(page: str | None, reference: list[Block] | None, counts: dict[int, t
                 template.add(b.number)
             if a.number == region:
                 top = b
+        for b in (top, *_above(top)):
+            b.skip = b.skip and not b.worded
     tops = [top]
     if marks := marked_articles(order):
         # no region (all of the page), or marked text outside it: the marks are the region
