@@ -298,6 +298,21 @@ def test_induction_decides_on_marked_pages(spark):
     assert host_texts(spark, pages) == [f"{words(0, 'a')}\n{words(0, 'b')}\n{i}" for i in range(8)]
 
 
+@pytest.mark.parametrize("first", [None, "", "<div></div>", "<body><div>Page not found</div></body>", "<body><table><tr><td>Welcome</table><div>Site name</div></body>"])
+def test_reference_is_no_odd_page(spark, first):
+    made = [soup(i, 2 + i % 7) for i in range(12)]
+    got = host_texts(spark, [first, first, *(h for h, _ in made)])
+    assert got[2:] == [text for _, text in made]
+
+
+def test_a_host_has_several_templates(spark):
+    made = [soup(i, 2 + i % 7) for i in range(12)]
+    news = lambda i: " ".join(f"n{i}{j}" for j in range(9))
+    fronts = [f"<body><table><tr><td>Welcome to the front page of this site<tr><td>{news(i)}</table><div>Write to the editor</div></body>" for i in range(12)]
+    got = host_texts(spark, [x for pair in zip(fronts, (h for h, _ in made), strict=True) for x in pair])
+    assert got == [x for i, (_, text) in enumerate(made) for x in (news(i), text)]
+
+
 def test_tree_matching_is_the_largest():
     def tree(spec):
         b = html_extract.Block(spec[0])

@@ -1,9 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host come from one template. Each host gets a reference page (its smallest page id);
-every page of the host is aligned with it by simple tree matching over trees of block elements, and
-counts are kept per reference node: how often it was met, how often with the same text, and how
-much text stood there. Nodes that stay the same are template; nodes that vary are slots. The region of a host is the
+Pages of a host come from a few templates. Pages with the same skeleton (their upper containers) are of one kind, and the kinds with most
+text give the host its reference pages, at most REFERENCES, never one without text. Every page is aligned with the reference of its kind, or
+else with the first, by simple tree matching over trees of block elements, and counts are kept per reference node: how often it was met, how often with the same text, and how
+much text stood there. Nodes that stay the same are template; nodes that vary are slots. The region of a reference is the
 deepest node that holds most of the varying text. A page's content are its slots in the region.
 
 A check by markup follows: menus, page headers, footers, asides, forms, adverts, notices and comments
@@ -18,11 +18,12 @@ their measured size allows it, else by a join whose hot hosts are salted.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import materialize
@@ -50,6 +51,9 @@ _HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 #: A node is template from so many met pages and so large a share of equal texts on.
 MIN_PAGES, SAME = 3, 0.9
 REGION = 0.6
+#: Reference pages of a host, what a page's text counts for its kind at most, and what makes a skeleton: tags, down to a depth, in counts up to 3.
+REFERENCES, KIND_CHARS = 3, 2000
+SKELETON, DEPTH = frozenset("html body div main article section nav header footer aside form center table".split()), 5
 #: Reference pages up to so many bytes in all are broadcast.
 BROADCAST_BYTES = 32 << 20
 MAX_GRID = 40_000
@@ -349,9 +353,12 @@ def is_template(met: int, same: int) -> bool:
 
 
 def extract(page: str | None, reference: list[Block] | None, counts: dict[int, tuple[int, int, int]], region: int, shapes: dict, memo: dict) -> str:
-    """The page's content lines; reference, counts and region are its host's, None if the host has one page only."""
+    """The page's content lines; reference, counts and region are its host's, None if the host has no reference."""
     root = parse(page)
-    order = number(root, shapes)
+    return content(root, number(root, shapes), reference, counts, region, memo)
+
+
+def content(root: Block, order: list[Block], reference: list[Block] | None, counts: dict[int, tuple[int, int, int]], region: int, memo: dict) -> str:
     template: set[int] = set()
     top = root
     if reference:
@@ -394,32 +401,66 @@ def _hosts(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     return pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
 
 
+def skeleton(root: Block) -> int:
+    """Equal for pages with the same upper containers: a hash of their paths and counts."""
+    found: dict[str, int] = {}
+    todo = [(root, "", 0)]
+    while todo:
+        b, path, depth = todo.pop()
+        for c in b.blocks() if depth < DEPTH else ():
+            if c.tag in SKELETON:
+                down = f"{path}/{c.tag}"
+                found[down] = min(3, found.get(down, 0) + 1)
+                todo.append((c, down, depth + 1))
+    return int.from_bytes(hashlib.blake2b(repr(sorted(found.items())).encode(), digest_size=8).digest(), "big", signed=True)
+
+
 def _references(pages: DataFrame) -> DataFrame:
-    """host and html of each host's smallest page id; a task sends one page per host on."""
+    """host and refs (array of n, kind, ref): a page of each of the host's kinds with most text; a task sends one page per host and kind on."""
 
     def run(batches):
         best: dict = {}
         for b in batches:
             for host, page, html in zip(*(b.column(k) for k in range(3)), strict=True):
-                h, p = host.as_py(), page.as_py()
-                if h and p is not None and (h not in best or p < best[h][0]):
-                    best[h] = (p, html.as_py() or "")
-            if len(best) > 2000:
-                yield send(best)
-                best = {}
+                h, p, text = host.as_py(), page.as_py(), html.as_py() or ""
+                root = parse(text)
+                if chars := _length(root, KIND_CHARS):
+                    rank = (p is None, p or 0, text)
+                    old = best.setdefault((h, skeleton(root)), [0, rank])
+                    old[0] += chars
+                    old[1] = min(old[1], rank)
+                if len(best) > 500:
+                    yield send(best)
+                    best = {}
         if best:
             yield send(best)
 
     def send(best):
-        return pa.RecordBatch.from_arrays([pa.array(list(best)), pa.array([v[0] for v in best.values()], pa.int64()), pa.array([v[1] for v in best.values()])], names=["host", "page", "ref"])
-
-    some = pages.select("host", F.col("page").cast("long"), "html").mapInArrow(run, "host string, page long, ref string")
-    return some.groupBy("host").agg(F.min_by("ref", "page").alias("ref"))
+        keys, values = list(best), list(best.values())
+        cols = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), pa.array([v[0] for v in values], pa.int64())]
+        cols += [pa.array([None if v[1][0] else v[1][1] for v in values], pa.int64()), pa.array([v[1][2] for v in values])]
+        return pa.RecordBatch.from_arrays(cols, names=["host", "kind", "chars", "page", "ref"])
+
+    some = pages.where("host <> ''").select("host", F.col("page").cast("long"), "html").mapInArrow(run, "host string, kind long, chars long, page long, ref string")
+    first = F.struct(F.col("page").isNull(), F.col("page"), F.xxhash64("ref"))
+    kinds = some.groupBy("host", "kind").agg(F.sum("chars").alias("chars"), F.min_by("ref", first).alias("ref"))
+    kinds = kinds.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("chars"), "kind"))).where(F.col("n") <= REFERENCES)
+    return kinds.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("n", "kind", "ref"))).alias("refs"), F.sum(F.length("ref") + 200).alias("size"))
+
+
+def _length(root: Block, most: int) -> int:
+    """Characters of the page's text, counted up to most."""
+    size, todo = 0, [root]
+    while todo and size < most:
+        x = todo.pop()
+        size += len(x.text())
+        todo += x.blocks()
+    return min(size, most)
 
 
 def _with_host_rows(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """pages with the columns of their host's row. hosts is broadcast if it was measured to be small; else a third of all pages may be one host's, so the join is salted."""
-    size = hosts.agg(F.sum(F.length("ref") + 200)).first()[0] or 0
+    size = hosts.agg(F.sum("size")).first()[0] or 0
     if size <= BROADCAST_BYTES:
         return pages.join(F.broadcast(hosts), "host", "left")
     salts = 64
@@ -428,43 +469,59 @@ def _with_host_rows(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return left.join(right, ["host", "salt"], "left").drop("salt")
 
 
+class _Reference:
+    """A parsed reference page, its counts per node and its region."""
+
+    def __init__(self, ref, shapes: dict, counts):
+        self.html, self.kind = ref["ref"], ref["kind"]
+        self.order = number(parse(self.html), shapes)
+        self.table = {c["node"]: (c["met"], c["same"], c["chars"]) for c in counts or [] if c["n"] == ref["n"]}
+        self.region = region_of(self.order, self.table)
+        self.n = ref["n"]
+
+
 class _Hosts:
-    """Parsed references, the last few hundred."""
+    """Parsed references, those of the last hundred hosts."""
 
     def __init__(self):
         self.known: dict = {}
 
-    def get(self, host, ref, counts=None):
+    def get(self, host, refs, counts=None) -> tuple[list[_Reference], dict, dict]:
+        """The host's references, shapes and memo."""
         if host not in self.known:
-            if len(self.known) >= 300:
+            if len(self.known) >= 100:
                 self.known.clear()
             shapes: dict = {}
-            order = number(parse(ref), shapes)
-            table = {c["node"]: (c["met"], c["same"], c["chars"]) for c in counts or []}
-            self.known[host] = (order, shapes, {}, table, region_of(order, table))
+            self.known[host] = ([_Reference(r, shapes, counts) for r in refs.as_py()], shapes, {})
         return self.known[host]
 
 
+def _of_kind(root: Block, refs: list[_Reference]) -> _Reference:
+    kind = skeleton(root) if len(refs) > 1 else None
+    return next((r for r in refs if r.kind == kind), refs[0])
+
+
 def _count(batches):
-    """Rows host, html, ref: sums per reference node of what the aligned pages have there."""
+    """Rows host, html, refs: sums per reference and node of what the aligned pages have there."""
     hosts, sums = _Hosts(), {}
 
     def send():
         keys = list(sums)
-        cols = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64())]
-        return pa.RecordBatch.from_arrays(cols + [pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(3)], names=["host", "node", "met", "same", "chars"])
+        cols = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64())]
+        return pa.RecordBatch.from_arrays(cols + [pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(3)], names=["host", "n", "node", "met", "same", "chars"])
 
     for b in batches:
-        for host, html, ref in zip(*(b.column(k) for k in range(3)), strict=True):
-            host, html, ref = host.as_py(), html.as_py() or "", ref.as_py()
-            if html == ref:
-                continue  # the reference and its copies agree with it everywhere
-            order, shapes, memo, *_ = hosts.get(host, ref)
+        for host, html, refs in zip(*(b.column(k) for k in range(3)), strict=True):
+            host, html = host.as_py(), html.as_py() or ""
+            known, shapes, memo = hosts.get(host, refs)
+            if any(html == r.html for r in known):
+                continue  # a reference and its copies agree with it everywhere
             root = parse(html)
+            ref = _of_kind(root, known)
             number(root, shapes)
-            for x, y in align(order[0], root, memo):
+            for x, y in align(ref.order[0], root, memo):
                 if x.text() or y.text():
-                    s = sums.setdefault((host, x.number), [0, 0, 0])
+                    s = sums.setdefault((host, ref.n, x.number), [0, 0, 0])
                     s[0] += 1
                     s[1] += x.text() == y.text()
                     s[2] += len(y.text())
@@ -486,23 +543,25 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         hosts = _Hosts()
         for b in batches:
             texts = []
-            for host, html, ref, counts in zip(*(b.column(k) for k in range(2, 6)), strict=True):
+            for host, html, refs, counts in zip(*(b.column(k) for k in range(2, 6)), strict=True):
                 html = html.as_py()
-                if ref.as_py() is None:
+                if not refs.is_valid:
                     texts.append(extract(html, None, {}, 0, {}, {}))
                     continue
-                order, shapes, memo, table, region = hosts.get(host.as_py(), ref.as_py(), counts.as_py())
+                known, shapes, memo = hosts.get(host.as_py(), refs, counts.as_py())
                 if len(memo) > 200_000:
                     memo.clear()
-                texts.append(extract(html, order, table, region, shapes, memo))
+                root = parse(html)
+                ref = _of_kind(root, known)
+                texts.append(content(root, number(root, shapes), ref.order, ref.table, ref.region, memo))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     own = _hosts(pages, id_col, url_col, html_col)
     refs = materialize(_references(own), "references")
-    found = _with_host_rows(own.where("host <> ''").select("host", "page", "html"), refs).where("ref is not null").select("host", "html", "ref").mapInArrow(_count, "host string, node long, met long, same long, chars long")
-    sums = found.groupBy("host", "node").agg(*(F.sum(c).alias(c) for c in ("met", "same", "chars")))
-    tables = sums.groupBy("host").agg(F.collect_list(F.struct("node", "met", "same", "chars")).alias("counts"))
+    found = _with_host_rows(own.where("host <> ''").select("host", "page", "html"), refs).where("refs is not null").select("host", "html", "refs").mapInArrow(_count, "host string, n int, node long, met long, same long, chars long")
+    sums = found.groupBy("host", "n", "node").agg(*(F.sum(c).alias(c) for c in ("met", "same", "chars")))
+    tables = sums.groupBy("host").agg(F.collect_list(F.struct("n", "node", "met", "same", "chars")).alias("counts"))
     hosts = materialize(refs.join(tables, "host", "left"), "hosts")
-    rows = _with_host_rows(own, hosts).select("page", "url", "host", "html", "ref", "counts")
+    rows = _with_host_rows(own, hosts).select("page", "url", "host", "html", "refs", "counts")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     return rows.mapInArrow(run, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars long")
