@@ -443,3 +443,42 @@ def test_pipeline(spark):
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"] is P.run
+
+
+def flat(specs):
+    """A list of blocks: tag, number of leaves in it, text."""
+    top = html_extract.Block("div")
+    for tag, leaves, text in specs:
+        b = html_extract.Block(tag, top)
+        b.items = [[text], *(html_extract.Block("i", b) for _ in range(leaves))]
+        top.items.append(b)
+    return top
+
+
+def test_long_lists_match_as_well_as_short_ones(monkeypatch):
+    rng = random.Random(3)
+    cases = [[flat([(rng.choice("pq"), rng.randint(0, 3), "") for _ in range(rng.randint(5, 40))]) for _ in "ab"] for _ in range(40)]
+    for x, y in cases:
+        shapes = {}
+        html_extract.number(x, shapes), html_extract.number(y, shapes)
+        whole = len(html_extract.align(x, y, {}))
+        with monkeypatch.context() as m:
+            m.setattr(html_extract, "MAX_GRID", 8)
+            pairs = html_extract.align(x, y, {})
+        assert len(pairs) == whole and len({a.number for a, _ in pairs}) == len({b.number for _, b in pairs}) == whole
+    # 250 blocks against 1000, the common ones early in one list and late in the other
+    both = [("section", k % 5, "") for k in range(60)]
+    x, y = flat(both + [("q", 0, "")] * 190), flat([("p", 0, "")] * 940 + both)
+    shapes = {}
+    html_extract.number(x, shapes), html_extract.number(y, shapes)
+    assert sum(a.tag == "section" for a, _ in html_extract.align(x, y, {})) == 60
+
+
+def test_lists_beyond_the_exact_match_meet_at_equal_texts(monkeypatch):
+    monkeypatch.setattr(html_extract, "MAX_EXACT", 50)
+    x = flat([("h2", 0, "x"), *[("p", 1, "notice"), ("p", 2, "terms")], *(("q", 0, f"a{k}") for k in range(30))])
+    y = flat([*(("p", 0, f"b{k}") for k in range(90)), ("p", 1, "notice"), ("p", 2, "terms"), ("h2", 0, "y")])
+    shapes = {}
+    html_extract.number(x, shapes), html_extract.number(y, shapes)
+    met = {(a.text(), b.text()) for a, b in html_extract.align(x, y, {})}
+    assert {("notice", "notice"), ("terms", "terms")} <= met

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from html import unescape
 
 import pyarrow as pa
@@ -56,7 +57,8 @@ REFERENCES, KIND_CHARS = 3, 2000
 SKELETON, DEPTH = frozenset("html body div main article section nav header footer aside form center table".split()), 5
 #: Reference pages up to so many bytes in all are broadcast.
 BROADCAST_BYTES = 32 << 20
-MAX_GRID = 40_000
+#: Pairs of blocks in a grid in memory, and for which two lists are matched exactly.
+MAX_GRID, MAX_EXACT = 40_000, 1_000_000
 #: Kinds of marks, in Block.main.
 ARTICLE, MAIN = 1, 2
 #: A template that takes more than this share of the marked text is not applied to it; a block with more of the page's text than this is no side matter.
@@ -246,21 +248,50 @@ def align(one: Block, two: Block, memo: dict) -> list[tuple[Block, Block]]:
             memo[key] = 1 + sum(weight(x, y) for x, y in children(a.blocks(), b.blocks()))
         return memo[key]
 
-    def children(p: list[Block], q: list[Block]) -> list[tuple[Block, Block]]:
+    def children(p: list[Block], q: list[Block], texts: bool = False) -> list[tuple[Block, Block]]:
         head, tail = 0, 0
         while head < min(len(p), len(q)) and p[head].shape == q[head].shape:
             head += 1
         while tail < min(len(p), len(q)) - head and p[-1 - tail].shape == q[-1 - tail].shape:
             tail += 1
         mid_p, mid_q = p[head : len(p) - tail], q[head : len(q) - tail]
-        return list(zip(p[:head], q[:head], strict=True)) + grid(mid_p, mid_q) + list(zip(p[len(p) - tail :], q[len(q) - tail :], strict=True))
+        return list(zip(p[:head], q[:head], strict=True)) + middle(mid_p, mid_q, texts) + list(zip(p[len(p) - tail :], q[len(q) - tail :], strict=True))
+
+    def middle(p: list[Block], q: list[Block], texts: bool) -> list[tuple[Block, Block]]:
+        if len(p) * len(q) <= MAX_EXACT:
+            return split(p, q)
+        # lists too long for an exact match are cut at blocks with equal shapes and texts, or else at their middles
+        cuts = anchors(p, q) if texts else []
+        out, i, j = [], 0, 0
+        for k, m in cuts or [(len(p) // 2, len(q) // 2)]:
+            out += children(p[i:k], q[j:m], texts) + [(p[k], q[m])] * bool(cuts)
+            i, j = k + bool(cuts), m + bool(cuts)
+        return out + children(p[i:], q[j:], texts)
+
+    def split(p: list[Block], q: list[Block]) -> list[tuple[Block, Block]]:
+        """A largest match in linear memory (Hirschberg): p is halved, and q cut where both halves weigh most."""
+        if len(p) * len(q) <= MAX_GRID:
+            return grid(p, q)
+        if len(p) == 1:
+            b = max(q, key=lambda b: weight(p[0], b))
+            return [(p[0], b)] if weight(p[0], b) else []
+        i = len(p) // 2
+        up, down = last_row(p[:i], q), last_row(p[i:][::-1], q[::-1])[::-1]
+        j = max(range(len(q) + 1), key=lambda j: up[j] + down[j])
+        return split(p[:i], q[:j]) + split(p[i:], q[j:])
+
+    def last_row(p: list[Block], q: list[Block]) -> list[int]:
+        """The weights of a largest match of p with each beginning of q."""
+        row = [0] * (len(q) + 1)
+        for a in p:
+            left = corner = 0
+            for j, b in enumerate(q, 1):
+                above = row[j]
+                row[j] = left = max(left, above, corner + weight(a, b))
+                corner = above
+        return row
 
     def grid(p: list[Block], q: list[Block]) -> list[tuple[Block, Block]]:
-        if not p or not q:
-            return []
-        if len(p) * len(q) > MAX_GRID:  # halves are matched on their own, so work stays linear in long lists
-            i, j = len(p) // 2, len(q) // 2
-            return children(p[:i], q[:j]) + children(p[i:], q[j:])
         best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
         for i, a in enumerate(p, 1):
             row, above = best[i], best[i - 1]
@@ -282,10 +313,43 @@ def align(one: Block, two: Block, memo: dict) -> list[tuple[Block, Block]]:
         a, b = todo.pop()
         if a.tag == b.tag:
             pairs.append((a, b))
-            todo += children(a.blocks(), b.blocks())
+            todo += children(a.blocks(), b.blocks(), True)
     return pairs
 
 
+def anchors(p: list[Block], q: list[Block]) -> list[tuple[int, int]]:
+    """Positions in p and q, both rising, of blocks with an equal shape and text that both have once; as many as can be."""
+
+    def once(blocks: list[Block]) -> dict:
+        at: dict = {}
+        for k, b in enumerate(blocks):
+            key = (b.shape, tuple(_texts(b)))
+            at[key] = -1 if key in at else k
+        return {key: k for key, k in at.items() if k >= 0 and key[1]}
+
+    one, two = once(p), once(q)
+    ends, rows, before = [], [], []  # ends of the best rising rows by length; each pair with the one before it
+    for k, m in ((k, two[key]) for key, k in one.items() if key in two):
+        n = bisect_left(ends, m)
+        before.append((k, m, rows[n - 1] if n else -1))
+        ends[n : n + 1], rows[n : n + 1] = [m], [len(before) - 1]
+    out, at = [], rows[-1] if rows else -1
+    while at >= 0:
+        k, m, at = before[at]
+        out.append((k, m))
+    return out[::-1]
+
+
+def _texts(b: Block) -> list[str]:
+    out, todo = [], [b]
+    while todo:
+        x = todo.pop()
+        if t := x.text():
+            out.append(t)
+        todo += x.blocks()
+    return out
+
+
 def _ruled_out(b: Block | None) -> bool:
     while b is not None:
         if b.skip:
