@@ -195,6 +195,22 @@ def test_other_spans_and_linear_time(spark):
     assert pii.pii_spans(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, ibans",
+    [
+        ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]),
+        ("DE89370400440532013000 GB82WEST12345698765432 DE89370400440532013000", ["DE89370400440532013000", "GB82WEST12345698765432", "DE89370400440532013000"]),
+        ("RE24 IBAN DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+        ("AB12 CD34 DE89 3704 0044 0532 0130 00 EUR 12", ["DE89 3704 0044 0532 0130 00"]),
+        ("RE24 DE89 3704 0044 0532 0130 01", []),
+        ("XDE89370400440532013000", []),
+    ],
+)
+def test_ibans_next_to_each_other(text, ibans):
+    assert [text[a:b] for k, a, b, _ in pii.find_spans(text) if k == "iban"] == ibans
+    pii.find_spans("AB12 CD34 " * 10_000)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=40_000))
 def test_media_round_trip(raw):

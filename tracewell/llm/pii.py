@@ -87,18 +87,21 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
-    for m in _IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        # a run of capitals and digits may end in other words; the account is the longest prefix that checks out
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, at = m.start(), m.start() + 1
+        # a run of capitals and digits may end in other words, or in the next account; the account is the longest prefix that checks out
+        plain, ends = [], []
+        for k in range(start, m.end()):
+            if text[k] != " ":
+                plain.append(text[k])
+                ends.append(k + 1)
         for n in range(min(len(plain), 34), 14, -1):
-            if mod97(plain[:n]):
-                stop, seen = m.start(), 0
-                while seen < n:
-                    seen += text[stop] != " "
-                    stop += 1
-                if stop == len(text) or not text[stop].isalnum():
-                    yield m.start(), stop
-                    break
+            stop = ends[n - 1]
+            if (stop == len(text) or not text[stop].isalnum()) and mod97("".join(plain[:n])):
+                yield start, stop
+                at = stop
+                break
 
 
 def _ssns(text: str):
