@@ -482,3 +482,15 @@ def test_lists_beyond_the_exact_match_meet_at_equal_texts(monkeypatch):
     html_extract.number(x, shapes), html_extract.number(y, shapes)
     met = {(a.text(), b.text()) for a, b in html_extract.align(x, y, {})}
     assert {("notice", "notice"), ("terms", "terms")} <= met
+
+
+def test_toxicity_scores_do_not_hang_on_the_buffer(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(0, 20, 1 << toxicity.BITS).astype(np.float32), 0.3)
+    words = [f"Wort{k}é" for k in range(300)]
+    texts = [" ".join(rng.choice(words, n)) + end for n, end in ((4000, " once"), (900, ""), (3, "."), (2000, ", twice\n"))]
+    texts += [(" ".join(words[:50]) + " ") * 40, "x" * 3000, "a" * 100 + " " + "b " * 2000, None]
+    whole = model.score(texts)
+    for many in (64, 1000, 5000):
+        monkeypatch.setattr(toxicity, "_MANY", many)
+        np.testing.assert_allclose(model.score(texts), whole, rtol=1e-6)

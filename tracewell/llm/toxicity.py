@@ -46,8 +46,11 @@ for _c in range(ord("A"), ord("Z") + 1):
 _MANY = 1 << 20
 
 
-def _bags(raw: bytes, bounds: np.ndarray):
-    """Distinct words of each text in raw (which begins and ends with a space): starts, and an iterator over (word of each n-gram, its bucket)."""
+def _bags(raw: bytes, bounds: np.ndarray, seen: np.ndarray | None = None):
+    """Distinct words of each text in raw (which begins and ends with a space): starts, an iterator over (word of each n-gram, its bucket), and hashes.
+
+    seen: sorted hashes of the words that came in earlier parts of the one text in raw; they count no more.
+    """
     data = np.frombuffer(raw, np.uint8)
     inside = _INSIDE[data]
     total, down = prefix_sums(_VALUE[data])
@@ -58,6 +61,9 @@ def _bags(raw: bytes, bounds: np.ndarray):
     whole = mix((total[ends] - total[starts]) * down[starts])
     own = np.searchsorted(bounds, starts, "right").astype(np.uint64)
     _, chosen = np.unique(whole ^ mix(own), return_index=True)
+    if seen is not None and len(seen):
+        at = np.minimum(np.searchsorted(seen, whole[chosen]), len(seen) - 1)
+        chosen = chosen[seen[at] != whole[chosen]]
     chosen.sort()
     if len(chosen) < len(starts):  # a word that came before in its text is as good as a space
         again = np.ones(len(starts), bool)
@@ -78,11 +84,11 @@ def _bags(raw: bytes, bounds: np.ndarray):
             yield word[at + 1], (mix((total[at + n] - total[at]) * down[at] + np.uint64(n)) >> shift).astype(np.int64)
         yield np.arange(len(starts)), (whole >> shift).astype(np.int64)
 
-    return starts, grams()
+    return starts, grams(), whole
 
 
 def _pieces(raw: bytes):
-    """raw cut at spaces into parts of about _MANY bytes, for texts of any length; words are distinct within a part."""
+    """raw cut at spaces into parts of about _MANY bytes, for texts of any length."""
     at = 0
     while at < len(raw):
         stop = min(at + _MANY, len(raw))
@@ -99,16 +105,16 @@ class Model:
     values: np.ndarray
     bias: float
 
-    def _sums(self, raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of word scores and number of words between bounds."""
-        starts, grams = _bags(raw, bounds)
+    def _sums(self, raw: bytes, bounds: np.ndarray, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sum of word scores and number of words between bounds, and the words' hashes."""
+        starts, grams, words = _bags(raw, bounds, seen)
         total, count = np.zeros(len(starts)), np.zeros(len(starts))
         for word, bucket in grams:
             total += np.bincount(word, self.values[bucket], len(starts))
             count += np.bincount(word, minlength=len(starts))
         scores = np.concatenate([[0.0], np.cumsum(total / np.maximum(count, 1))])
         at = np.searchsorted(starts, bounds)
-        return scores[at[1:]] - scores[at[:-1]], at[1:] - at[:-1]
+        return scores[at[1:]] - scores[at[:-1]], at[1:] - at[:-1], words
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Probability of toxicity of each text; one without words gets what the bias says."""
@@ -116,11 +122,15 @@ class Model:
         logits = np.full(len(raw), self.bias)
         for i, j in slices(list(map(len, raw)), _MANY):
             if j == i + 1:
-                parts = [self._sums(b" " + p + b" ", np.array([0, len(p) + 2])) for p in _pieces(raw[i])]
-                s, n = sum(p[0][0] for p in parts), sum(p[1][0] for p in parts)
-                logits[i] += s / (n + NEUTRAL)
+                total, count, seen = 0.0, 0, np.zeros(0, np.uint64)
+                for p in _pieces(raw[i]):
+                    s, n, words = self._sums(b" " + p + b" ", np.array([0, len(p) + 2]), seen)
+                    total, count = total + s[0], count + n[0]
+                    if len(p) < len(raw[i]):
+                        seen = np.union1d(seen, words)
+                logits[i] += total / (count + NEUTRAL)
             else:
-                s, n = self._sums(b" " + b" ".join(raw[i:j]) + b" ", np.cumsum([0, *(len(r) + 1 for r in raw[i:j])]))
+                s, n, _ = self._sums(b" " + b" ".join(raw[i:j]) + b" ", np.cumsum([0, *(len(r) + 1 for r in raw[i:j])]))
                 logits[i:j] += s / (n + NEUTRAL)
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
@@ -128,7 +138,7 @@ class Model:
 def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, weights) of a document; with the neutral words' the weights add up to one."""
     raw = b" " + text.encode("utf-8", "surrogatepass") + b" "
-    starts, grams = _bags(raw, np.array([0, len(raw)]))
+    starts, grams, _ = _bags(raw, np.array([0, len(raw)]))
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0)
     found = list(grams)
