@@ -173,6 +173,24 @@ def test_mix(spark):
     assert clash.columns == ["doc_id", "text", "Slot", "source", "block", "_block", "_slot", "order"]
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = ["x" * rng.randint(0, 3000) for _ in range(1500)]
+    sources = [f"s{i % 620}" if i % 3 else "hot" for i in range(1500)]
+    df = docs(spark, texts, range(1500), sources)
+    rows = mixing.mix(df, block_chars=5000).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(1500))
+    seen = defaultdict(set)
+    for r in rows:
+        seen[r.slot].add((r.source, r.block))
+    assert all(len(v) == 1 for v in seen.values())
+    # the table of blocks gives what the broadcast gives
+    few = df.where("doc_id < 200")
+    one = sorted((r.doc_id, r.block, r.slot, r.order) for r in mixing.mix(few, block_chars=5000).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert sorted((r.doc_id, r.block, r.slot, r.order) for r in mixing.mix(few, block_chars=5000).collect()) == one
+
+
 def page(article, **other):
     return f"<html><head><title>t</title></head><body>{other.get('before', '')}{article}{other.get('after', '')}</body></html>"
 

@@ -8,7 +8,8 @@ number of slots a source is less than one block away from its share.
 
 Weights are taken as q / D with integers q that add up to D, so a schedule repeats after D slots and only
 one period is worked out, on the driver: D slots whatever the data's size. When a source runs out, the
-weights of the others are scaled up and a new phase begins; every document is scheduled exactly once.
+weights of the others are scaled up and a new phase begins; every document is scheduled exactly once. Of many
+sources the schedule is a table of their blocks, joined and not broadcast.
 
 Documents find their place in a source by counts per (source, hash bucket) and a running sum in each bucket: no
 task ever holds a source, only a bucket of about sqrt(rows) documents.
@@ -21,12 +22,12 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import fresh
+from tracewell.llm.common import fresh, materialize
 
 BLOCK_CHARS = 1 << 16
 PERIOD = 4096
-#: Sources are a configuration of the mix and their schedule is broadcast: more than this many must be grouped first.
-MAX_SOURCES = 500
+#: The schedule of up to so many sources is broadcast; that of more becomes a table with a row per block. The driver's work grows with their square.
+BROADCAST_SOURCES = 500
 SEED = 20_260
 
 
@@ -44,8 +45,8 @@ def quantize(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return q
 
 
-def earliest_deadline_first(q: dict[str, int], period: int) -> dict[str, list[int]]:
-    """The slots in one period that each source's blocks get."""
+def earliest_deadline_first(q: dict[str, int], period: int, left: dict[str, int] | None = None) -> dict[str, list[int]]:
+    """The slots in one period that each source's blocks get, up to the slot in which a source has sent what it has left."""
     slots: dict[str, list[int]] = {s: [] for s in q}
     waiting = [(0, s, 0) for s in q]  # (release, source, block)
     ready: list[tuple[int, str, int]] = []
@@ -58,22 +59,29 @@ def earliest_deadline_first(q: dict[str, int], period: int) -> dict[str, list[in
         if due <= t:
             raise AssertionError("a deadline was missed")
         slots[s].append(t)
+        if left and len(slots[s]) == left[s]:
+            break
         if k + 1 < q[s]:
             heapq.heappush(waiting, ((k + 1) * period // q[s], s, k + 1))
     return slots
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> tuple[list[tuple], list[tuple]]:
-    """Phases (source, phase, first block, block after the last, first slot, q) and pattern (phase, source, j, slot in the period)."""
+def schedule(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD, idle: bool = True) -> tuple[list[tuple], list[tuple]]:
+    """Phases (source, phase, first block, block after the last, first slot, q) and pattern (phase, source, j, slot in the period).
+
+    idle: with phases in which a source sends no block.
+    """
     left, done, base, phases, pattern = dict(blocks), dict.fromkeys(blocks, 0), 0, [], []
     phase = 0
     while left:
         q = quantize({s: weights[s] for s in left}, period)
-        slots = earliest_deadline_first(q, period)
-        length = min((n - 1) // q[s] * period + slots[s][(n - 1) % q[s]] + 1 for s, n in left.items())
+        slots = earliest_deadline_first(q, period, left)
+        ended = next((s for s, n in left.items() if len(slots[s]) == n), None)
+        length = slots[ended][-1] + 1 if ended is not None else min((n - 1) // q[s] * period + slots[s][(n - 1) % q[s]] + 1 for s, n in left.items())
         for s in sorted(left):
             taken = length // period * q[s] + sum(t < length % period for t in slots[s])
-            phases.append((s, phase, done[s], done[s] + taken, base, q[s]))
+            if taken or idle:
+                phases.append((s, phase, done[s], done[s] + taken, base, q[s]))
             done[s] += taken
             left[s] -= taken
         pattern += [(phase, s, j, t) for s in sorted(left) for j, t in enumerate(slots[s])]
@@ -97,9 +105,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     # null and '' are different sources
     key = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
     rows = docs.withColumns({src: key, n: F.coalesce(F.char_length(F.col(text_col)), F.lit(0)).cast("long"), u: F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(SEED)), 1)})
-    sizes = rows.groupBy(src).agg(F.count(F.lit(1)).alias("rows"), F.sum(n).alias("chars")).limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them")
+    sizes = rows.groupBy(src).agg(F.count(F.lit(1)).alias("rows"), F.sum(n).alias("chars")).collect()
     if not sizes:
         return rows.select(*docs.columns, F.lit(0).cast("long").alias(block), F.lit(0).cast("long").alias(slot), F.col(u).alias(order))
     blocks = {r[src]: max(1, -(-r["chars"] // block_chars)) for r in sizes}
@@ -110,7 +116,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
             raise ValueError("weights must be positive")
         unit = sum(named.values()) / (sum(plan[s] for s in named) or 1.0) if named else 1.0
         plan = {s: named.get(s, p * unit) for s, p in plan.items()}
-    phases, pattern = schedule(blocks, plan, max(period, 4 * len(plan)))
+    few = len(plan) <= BROADCAST_SOURCES
+    phases, pattern = schedule(blocks, plan, max(period, 4 * len(plan)), idle=few)
     period = max(period, 4 * len(plan))
 
     most = max(r["rows"] for r in sizes)
@@ -128,6 +135,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     ph = ph.select(*(F.col(c).alias(f"{start}_{c}") for c in ("ps", "phase", "k0", "k1", "base", "q", "last")))
     pat = spark.createDataFrame(pattern, "phase long, s string, j long, t long").select(*(F.col(c).alias(f"{before}_{c}") for c in ("phase", "s", "j", "t")))
     p, t = (lambda c: F.col(f"{start}_{c}")), (lambda c: F.col(f"{before}_{c}"))
+    if not few:
+        # a row per block of a source, its slot worked out: documents meet it by source and block, so no source is in one task
+        own = F.col(f"{start}_own")
+        turns = ph.where(p("k1") > p("k0")).withColumn(f"{start}_own", F.explode(F.sequence(p("k0"), p("k1") - 1)))
+        k = own - p("k0")
+        turns = turns.join(pat, (p("phase") == t("phase")) & (p("ps") == t("s")) & (F.pmod(k, p("q")) == t("j")))
+        turns = turns.select(p("ps").alias(src), own.alias(f"{before}_k"), (p("base") + F.floor(k / p("q")).cast("long") * period + t("t")).alias(f"{before}_at"))
+        ends = last.select(F.col("ls").alias(src), F.col("last").alias(f"{start}_last"))
+        turns = materialize(turns, "turns")
+        placed = placed.join(F.broadcast(ends), src).withColumn(f"{before}_k", F.least(F.floor(F.col(start) / block_chars).cast("long"), p("last") - 1))
+        out = placed.join(turns, [src, f"{before}_k"])
+        return out.select(*docs.columns, F.col(f"{before}_k").alias(block), F.col(f"{before}_at").alias(slot), F.col(u).alias(order))
     own = F.least(F.floor(F.col(start) / block_chars).cast("long"), p("last") - 1)
     out = placed.join(F.broadcast(ph), (F.col(src) == p("ps")) & (own >= p("k0")) & (own < p("k1")))
     k = own - p("k0")
