@@ -9,8 +9,7 @@ import pytest
 
 from tracewell.llm import html_extract, mixing, quality_crf, toxicity
 from tracewell.llm.labels import training_rows
-from tracewell.llm.minhash import components, drop_near, near_duplicates, shingle_sets, unresolved_links
-from tracewell.llm.words import hash_words
+from tracewell.llm.minhash import components, drop_near, hashed_sets, near_duplicates, unresolved_links, word_set
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 DATA = "/root/testdata/sf0.01"
@@ -71,13 +70,29 @@ def corpus(seed, n):
     return texts
 
 
-def test_shingle_sets_are_those_of_the_words():
+def test_hashed_sets_are_those_of_the_words():
     texts = corpus(3, 20)
-    for t, s in zip(texts, shingle_sets(texts)):
-        assert len(s) == len(shingles(t))
-        assert (s == shingle_sets([t])[0]).all()
-    a, b = hash_words("Straße ab\x0bAB".encode())[1][[1, 2]]
-    assert a == b
+    for t, (s, fp) in zip(texts, hashed_sets(texts)):
+        assert len(s) == len(shingles(t)) and {tuple(w.decode() for w in x) for x in word_set(t)} == shingles(t)
+        one, own = hashed_sets([t])[0]
+        assert (s == one).all() and fp == own
+    a, b = hashed_sets(["Straße ab\x0bAB", "straße AB ab"])
+    assert a[1] == b[1]
+
+
+def test_words_that_polynomials_confuse(spark):
+    """A Thue-Morse word and its swap have one polynomial hash modulo 2^64, whatever the base."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    swap = word.translate(str.maketrans("ab", "ba"))
+    got = near_duplicates(docs(spark, [word, swap, f"{word} {swap} {word} {swap} {word} {word}"])).orderBy("doc_id").collect()
+    assert [(r.n_shingles, r.kept) for r in got] == [(1, True), (1, True), (2, True)]
+
+
+def test_recall_on_a_whole_table(spark):
+    """Every link that brute force finds in the documents of sf0.01 is within a component, and no other document is in one."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted(tuple(r) for r in near_duplicates(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect())
+    assert got == near_truth(rows)
 
 
 def test_near_duplicates(spark):
@@ -97,23 +112,27 @@ def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     assert {r.component_id for r in near_duplicates(odd).collect()} == {0}
 
 
-def test_links_that_no_pivot_shows(spark):
-    """Members of one bucket that are like each other but not like its pivot are linked, over several blocks too, and as a forest."""
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 256, 160, dtype=np.uint8).tobytes()
-    alike = (7, 1500, 1501, 2000)
-    sk = [(i, bytearray(base if i in alike else rng.integers(0, 256, 160, dtype=np.uint8).tobytes())) for i in range(2400)]
-    shared = sorted(range(1000, 1030))
-    sets = spark.createDataFrame([(i, shared + [5000 + i] if i in alike else [10 * i, 10 * i + 1]) for i in range(2400)], "id long, shingles array<long>")
-    sk = spark.createDataFrame(sk, "id long, sk binary")
-    buckets = spark.range(2400).selectExpr("5L as key", "id", "0L as pivot")
+def test_links_that_no_pivot_shows(spark, monkeypatch):
+    """Members of one bucket that are like each other but not like its pivot are linked, over several blocks and size classes too, and as a forest."""
+    monkeypatch.setattr("tracewell.llm.minhash.BLOCK", 100)
+    alike = (7, 500, 501, 700)
+    shared = " ".join(f"s{k}" for k in range(40))
+    texts = {i: shared + f" end{i}" * (1 + i % 3) if i in alike else " ".join(f"w{i}x{k}" for k in range(8 + i % 50)) for i in range(800)}
+    sets = {i: len(word_set(t)) for i, t in texts.items()}
+    assert len({sets[i] for i in alike}) > 1
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string")
+    mine = spark.createDataFrame([(i, sets[i], [5, i]) for i in texts], "id long, n long, bands array<long>")
+    buckets = spark.range(800).selectExpr("5L as key", "id", "0L as pivot")
     none = spark.createDataFrame([], "id long, root long")
-    found = unresolved_links(buckets, none, sk, sets, 75).collect()
+    found = unresolved_links(buckets, none, mine, rows, 75).collect()
     assert {x for r in found for x in r} == set(alike)
-    assert {r.root for r in components(unresolved_links(buckets, none, sk, sets, 75)).collect()} == {7}
+    assert {r.root for r in components(unresolved_links(buckets, none, mine, rows, 75)).collect()} == {7}
     same = spark.createDataFrame([(i, 3) for i in alike], "id long, root long")
-    assert unresolved_links(buckets, same, sk, sets, 75).count() == 0
-    assert unresolved_links(buckets, none, sk, sets, 97).count() == 0
+    assert unresolved_links(buckets, same, mine, rows, 75).count() == 0
+    assert unresolved_links(buckets, none, mine, rows, 99).count() == 0
+    # those that share no band are no candidates
+    apart = spark.createDataFrame([(i, sets[i], [i, -i]) for i in texts], "id long, n long, bands array<long>")
+    assert unresolved_links(buckets, none, apart, rows, 75).count() == 0
 
 
 def test_components(spark):

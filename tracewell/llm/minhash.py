@@ -1,15 +1,15 @@
-"""Near-duplicate documents by min-max hashing, links confirmed on whole shingle sets.
+"""Near-duplicate documents by min-max hashing, links confirmed on the word sets themselves.
 
-1. A document's set of 5-word shingles becomes a fingerprint of the whole set, and under each of 80
+1. A document's set of 5-word shingles, from keyed 128-bit hashes of its words, becomes a fingerprint of the whole set, and under each of 80
    permutations its minimum and its maximum: 160 values from 80 hash evaluations a shingle.
 2. Documents of one fingerprint form a class; its smallest id stands for it from here on, so
    thousands of copies are one row.
 3. 40 bands of two minima and two maxima: at similarity s a pair meets in a band with s^4, so at
-   0.75 all bands miss it once in 4 million pairs.
-4. Star: each member of a bucket is paired with the bucket's smallest id only. Pairs
-   whose sketches disagree are dropped, the rest is verified on the whole sets; links are contracted.
+   0.75 all bands miss it once in 4 million pairs. Pairs that meet in a band are candidates; no estimate decides about one.
+4. Star: each member of a bucket is paired with the bucket's smallest id only. Pairs whose set sizes allow a
+   link are verified on their texts: sets of word tuples, without any hash. Links are contracted.
 5. The rest, without a cap: where the buckets of a component still hold several components, their members
-   are compared in blocks of bounded size, on sketches and then on whole sets. What is linked already is not
+   are compared in blocks of bounded size, those of like set sizes only, and there those that share a band. What is linked already is not
    compared, and only links that join components leave a block, fewer than it has members.
 
 Hash joins and aggregates carry narrow rows; a hot bucket's join is split by adaptive execution.
@@ -19,68 +19,121 @@ No step collects documents, links or components to the driver.
 from __future__ import annotations
 
 import hashlib
+import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import fresh, materialize, slices
-from tracewell.llm.words import IS_SPACE, hash_words, mix
+from tracewell.llm.words import IS_SPACE, mix
 
 SHINGLE = 5
 PERMUTATIONS, BANDS = 80, 40
-#: Of the 160 sketch bytes so many must agree for a pair to be verified: 5 standard deviations under what a link shows, 4 for sets of a few shingles.
-AGREE = 90
-#: Ids in a block of stage 5; two blocks and their whole sets are in memory at once.
-BLOCK = 500
+#: Ids, and bytes of text, in a block of stage 5 (a longer text is a block of its own); two blocks are in memory at once.
+BLOCK, BLOCK_BYTES = 250, 2 << 20
+#: Words whose hashes a worker remembers.
+REMEMBERED = 300_000
 
 _RNG = np.random.Generator(np.random.PCG64(20_240_229))
-_PLACE = _RNG.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_KEY = _RNG.bytes(32)
+_PLACE = _RNG.integers(0, 2**63, (SHINGLE, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TURN = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _RNG.integers(0, 2**63, (BANDS, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 1 << 20
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """Of one text of any length, in chunks that end at white space."""
-    out, at = [], 0
+class _Hashes:
+    """Keyed 128-bit hashes of words, as two 64-bit lanes; those seen are remembered."""
+
+    def __init__(self):
+        self.at: dict[bytes, int] = {}
+        self.lanes = np.empty((1 << 12, 2), np.uint64)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        at = self.at
+        if len(at) > REMEMBERED:
+            at.clear()
+        new = [w for w in set(words) if w not in at]
+        if new:
+            need, have = len(at) + len(new), len(self.lanes)
+            if need > have:
+                self.lanes = np.concatenate([self.lanes, np.empty((max(need - have, have), 2), np.uint64)])
+            self.lanes[len(at) : need] = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16, key=_KEY).digest() for w in new), "<u8").reshape(-1, 2)
+            for k, w in enumerate(new, len(at)):
+                at[w] = k
+        return self.lanes[np.fromiter(map(at.__getitem__, words), np.int64, len(words))]
+
+
+_HASHES = _Hashes()
+
+
+def split_words(raw: bytes) -> list[bytes]:
+    """Words end at space and tab to carriage return; A-Z are lower-cased. bytes.lower and bytes.split do just that."""
+    return raw.lower().split()
+
+
+def _chunks(raw: bytes):
+    """raw in parts of about _CHUNK bytes that end at white space."""
+    at = 0
     while at < len(raw):
         stop = min(at + _CHUNK, len(raw))
         while stop < len(raw) and not IS_SPACE[raw[stop]]:
             stop += 1
-        out.append(hash_words(raw[at:stop])[1])
+        yield raw[at:stop]
         at = stop
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _shingles(words: np.ndarray) -> np.ndarray:
+def _shingles(words: np.ndarray) -> tuple[np.ndarray, bytes | None]:
+    """words: lanes of a text's words. Its distinct shingles as sorted 64-bit hashes, and a fingerprint of the set from both lanes."""
     n = len(words)
     if not n:
-        return words
-    if n < SHINGLE:
-        return mix((words * _PLACE[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))
-    m = n - SHINGLE + 1
+        return np.zeros(0, np.uint64), None
+    k, m = (n, 1) if n < SHINGLE else (SHINGLE, n - SHINGLE + 1)
     total = words[:m] * _PLACE[0]
-    for k in range(1, SHINGLE):
-        total += words[k : k + m] * _PLACE[k]
-    return np.unique(mix(total))
+    for i in range(1, k):
+        total += words[i : i + m] * _PLACE[i]
+    total = mix(total + np.uint64(k))
+    one, first = np.unique(total[:, 0] ^ (total[:, 1] >> np.uint64(32)), return_index=True)
+    both = hashlib.blake2b(one.tobytes(), digest_size=16, key=_KEY)
+    both.update(int(total[first, 1].sum(dtype=np.uint64)).to_bytes(8, "little"))
+    return one, both.digest()
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """Of each text: its distinct shingles as sorted 64-bit hashes."""
+def hashed_sets(texts: list[str | None]) -> list[tuple[np.ndarray, bytes | None]]:
+    """Of each text: its distinct shingles as sorted 64-bit hashes, and the fingerprint of the set."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    out: list[np.ndarray] = []
+    out = []
     for i, j in slices(list(map(len, raw)), _CHUNK):
         if j == i + 1:
-            out.append(_shingles(word_hashes(raw[i])))
+            parts = [_HASHES.of(split_words(part)) for part in _chunks(raw[i])]
+            out.append(_shingles(np.concatenate(parts) if parts else np.zeros((0, 2), np.uint64)))
             continue
-        starts, hashes = hash_words(b" ".join(raw[i:j]))
-        first = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw[i:j])]))
-        out += [_shingles(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        words = [split_words(r) for r in raw[i:j]]
+        lanes = _HASHES.of(list(chain.from_iterable(words)))
+        at = 0
+        for w in words:
+            out.append(_shingles(lanes[at : at + len(w)]))
+            at += len(w)
     return out
 
 
+def word_set(text: str | None) -> set[tuple[bytes, ...]]:
+    """The set itself: distinct tuples of five words, or the whole sequence if it has fewer."""
+    w = split_words((text or "").encode("utf-8", "surrogatepass"))
+    if len(w) < SHINGLE:
+        return {tuple(w)} if w else set()
+    return set(zip(*(w[k:] for k in range(SHINGLE))))
+
+
+def linked(one: set, two: set, percent: int) -> bool:
+    """Empty sets are linked with nothing."""
+    common = len(one & two)
+    return common > 0 and 100 * common >= percent * (len(one) + len(two) - common)
+
+
 def min_max(shingles: np.ndarray) -> np.ndarray:
     """Minimum and maximum under each permutation: row 0 and row 1."""
     low, high = np.full(PERMUTATIONS, 2**64 - 1, np.uint64), np.zeros(PERMUTATIONS, np.uint64)
@@ -91,11 +144,6 @@ def min_max(shingles: np.ndarray) -> np.ndarray:
     return np.stack([low, high])
 
 
-def sketch(values: np.ndarray) -> bytes:
-    """A byte of each of the 160 values."""
-    return (mix(values) >> np.uint64(56)).astype(np.uint8).tobytes()
-
-
 def band_keys(values: np.ndarray) -> np.ndarray:
     """A key per band of the minima and maxima of two permutations."""
     four = values.reshape(2, BANDS, 2).transpose(1, 0, 2).reshape(BANDS, 4)
@@ -103,60 +151,46 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (size of the set), fp (128 bits of the whole set), sk (160 bytes), bands (40 keys); the last three null for an empty set."""
+    """id, n (size of the set), fp (128 bits of the whole set), bands (40 keys); the last two null for an empty set."""
 
     def run(batches):
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for i, j in slices([len(t or "") for t in texts], _CHUNK):
-                n, fp, sk, bands = [], [], [], []
-                for s in shingle_sets(texts[i:j]):
-                    n.append(len(s))
-                    v = min_max(s) if len(s) else None
-                    fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    sk.append(sketch(v) if len(s) else None)
-                    bands.append(band_keys(v) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sk, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "fp", "sk", "bands"])
+                sets = hashed_sets(texts[i:j])
+                n, fp = [len(s) for s, _ in sets], [f for _, f in sets]
+                bands = [band_keys(min_max(s)) if len(s) else None for s, _ in sets]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "fp", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id long, n long, fp binary, sk binary, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id long, n long, fp binary, bands array<long>")
 
 
-def whole_sets(docs: DataFrame) -> DataFrame:
-    """docs: id, text. Gives id and the whole set as an array."""
+def _confirm(percent: int):
+    """Over rows a, text of a, b, text of b: the pairs (a, b) whose word sets are alike. Rows come by b, whose set is kept."""
 
     def run(batches):
-        for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for i, j in slices([len(t or "") for t in texts], _CHUNK):
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([s.view(np.int64) for s in shingle_sets(texts[i:j])], pa.list_(pa.int64()))], names=["id", "shingles"])
-
-    return docs.mapInArrow(run, "id long, shingles array<long>")
-
-
-def _alike(left: str, right: str) -> Column:
-    """Whether two sketch columns agree often enough for the pair to be verified."""
-
-    @F.pandas_udf("boolean")
-    def alike(one, two):
-        import pandas as pd
-
-        if not len(one):
-            return pd.Series([], dtype=bool)
-        a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (one, two))
-        return pd.Series((a == b).sum(axis=1) >= AGREE)
+        held, kept = None, set()
+        for batch in batches:
+            a, ta, b, tb = (batch.column(k) for k in range(4))
+            keep = []
+            for k in range(batch.num_rows):
+                key = (b[k].as_py(), tb[k].as_py())
+                if key != held:
+                    held, kept = key, word_set(key[1])
+                keep.append(linked(word_set(ta[k].as_py()), kept, percent))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    return alike(left, right)
+    return run
 
 
-def verified(pairs: DataFrame, sk: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose whole sets overlap by at least percent of their union."""
-    left, right = (sk.select(F.col("id").alias(c), F.col("sk").alias(f"sk_{c}")) for c in "ab")
-    near = materialize(pairs.join(left, "a").join(right, "b").where(_alike("sk_a", "sk_b")).select("a", "b"), "near")
-    left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
-    both = near.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    union = F.size("s_a").cast("long") + F.size("s_b") - common
-    return both.where(common * 100 >= union * percent).select("a", "b")
+def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose word sets overlap by at least percent of their union. sizes: id, n; texts: id, text."""
+    left, right = (sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    able = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent  # no smaller set can share so much
+    near = materialize(pairs.join(left, "a").join(right, "b").where(able).select("a", "b").distinct(), "near")
+    left, right = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t_{c}")) for c in "ab")
+    return near.join(left, "a").join(right, "b").select("a", "t_a", "b", "t_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,42 +222,35 @@ def components(edges: DataFrame) -> DataFrame:
     return materialize(out, "roots")
 
 
-def _alike_rows(sk: np.ndarray, x: int, ys: np.ndarray) -> np.ndarray:
-    """Those of ys whose sketches agree with x's, the most alike first."""
-    agree = (sk[ys] == sk[x]).sum(axis=1)
-    keep = agree >= AGREE
-    return ys[keep][np.argsort(-agree[keep], kind="stable")]
-
-
 def _links_in_block(rows: list[tuple], i: int, j: int, percent: int):
-    """rows: id, root, block, sketch, whole set. Links between blocks i and j that join different roots.
+    """rows: id, root, block, n, bands, text. Links between blocks i and j that join different roots.
 
-    Whatever is linked already, by roots or by a link found here, is not compared, so what comes out is a forest: fewer links than rows.
+    Pairs that share a band and whose sizes allow it are compared on their word sets. Whatever is linked already, by roots or by a link
+    found here, is not, so what comes out is a forest: fewer links than rows.
     """
-    ids, blocks = (np.array([r[k] for r in rows]) for k in (0, 2))
+    ids, blocks, sizes = (np.array([r[k] for r in rows]) for k in (0, 2, 3))
     names, own = np.unique([r[1] for r in rows], return_inverse=True)
     group = np.arange(len(names))
-    sk = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+    keys = np.stack([r[4] for r in rows])
+    sets: dict[int, set] = {}
+
+    def of(k: int) -> set:
+        if k not in sets:
+            sets[k] = word_set(rows[k][5])
+        return sets[k]
+
     one, two = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
     for x in one:
         ys = two[ids[two] > ids[x]] if i == j else two
-        ys = _alike_rows(sk, x, ys[group[own[ys]] != group[own[x]]])
-        mine, at, step = rows[x][4], 0, 8
-        while at < len(ys):
-            some = ys[at : at + step]
-            some = some[group[own[some]] != group[own[x]]]
-            at, step = at + step, 256
-            if not len(some):
-                continue
-            sets = [rows[y][4] for y in some]
-            sizes = np.array(list(map(len, sets)))
-            all_ = np.concatenate(sets)
-            place = np.minimum(np.searchsorted(mine, all_), len(mine) - 1)
-            common = np.add.reduceat(mine[place] == all_, np.cumsum(sizes) - sizes)
-            for y in some[common * 100 >= (sizes + len(mine) - common) * percent]:
-                if (a := group[own[x]]) != (c := group[own[y]]):
-                    group[group == c] = a
-                    yield max(ids[x], ids[y]), min(ids[x], ids[y])
+        ys = ys[group[own[ys]] != group[own[x]]]
+        able = np.minimum(sizes[ys], sizes[x]) * 100 >= np.maximum(sizes[ys], sizes[x]) * percent
+        ys = ys[able]
+        for y in ys[(keys[ys] == keys[x]).any(axis=1)]:
+            if (a := group[own[x]]) != (c := group[own[y]]) and linked(of(x), of(y), percent):
+                group[group == c] = a
+                yield max(ids[x], ids[y]), min(ids[x], ids[y])
+        if i != j:
+            sets.pop(x, None)
 
 
 def _compare(percent: int):
@@ -238,38 +265,44 @@ def _compare(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for b in batches:
-            sets = b.column(7)
-            flat, offsets = sets.flatten().to_numpy().view(np.uint64), sets.offsets.to_numpy()  # sorted as unsigned
-            offsets = offsets - offsets[0]
-            for k, (region, i, j, *row) in enumerate(zip(*(b.column(c).to_pylist() for c in range(7)), strict=True)):
+            for region, i, j, *row, bands, text in zip(*(b.column(c).to_pylist() for c in range(9)), strict=True):
                 if (region, i, j) != now:
                     if held:
                         yield batch()
                     held, now = [], (region, i, j)
-                held.append((*row, flat[offsets[k] : offsets[k + 1]].copy()))
+                held.append((*row, np.array(bands, np.int64), text))
         if held:
             yield batch()
 
     return run
 
 
-def unresolved_links(buckets: DataFrame, roots: DataFrame, sk: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _size_class(n, percent: int):
+    """Sets that can be alike are of one class or of neighbours."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9).cast("long") if percent < 100 else n.cast("long")
+
+
+def unresolved_links(buckets: DataFrame, roots: DataFrame, mine: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of ids of different roots that share a bucket (key, id, pivot): as many as it takes to join what they join.
 
     The members of all buckets whose pivots have one root make a region, with each id in it once. Regions with
-    one root are done. The others are cut into blocks of BLOCK ids by hash, and every pair of blocks is compared in a
-    task group of its own, on sketches and then on the whole sets, which come along. Only links leave a group.
+    one root are done. The others fall into classes by set size, and these into blocks of BLOCK ids or BLOCK_BYTES by hash. Every pair of blocks of a class,
+    or of neighbouring ones, is compared in a task group of its own. Only links leave a group. mine: id, n, bands; texts: id, text.
     """
     named = buckets.join(roots, "id", "left").select("id", "pivot", F.coalesce("root", "id").alias("root"))
     pivots = roots.select(F.col("id").alias("pivot"), F.col("root").alias("r"))
     rows = named.join(pivots, "pivot", "left").select(F.coalesce("r", "pivot").alias("region"), "id", "root").distinct()
     rows = materialize(rows, "members")
     open_ = rows.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("root").alias("c")).where("r0 <> r1 and c > 2")
-    open_ = materialize(open_.select("region", F.ceil(F.col("c") / BLOCK).alias("nb")), "open")
-    rows = rows.join(open_, "region").withColumn("block", F.pmod(F.xxhash64("id"), "nb"))
-    rows = rows.join(sk.select("id", "sk"), "id").join(sets, "id")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    rows = rows.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block", "sk", "shingles")
+    rows = rows.join(open_.select("region"), "region").join(mine.select("id", "n", "bands"), "id").withColumn("c", _size_class(F.col("n"), percent))
+    rows = materialize(rows.join(texts, "id"), "open")
+    blocks = rows.groupBy("region", "c").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("nb"))
+    blocks = materialize(blocks, "blocks")
+    code = lambda c, k: F.shiftleft(c, 32) + k
+    rows = rows.join(blocks, ["region", "c"]).withColumn("own", code(F.col("c"), F.pmod(F.xxhash64("id"), "nb")))
+    near = blocks.select("region", F.col("c").alias("c2"), F.col("nb").alias("nb2"), F.explode(F.array(F.col("c") - 1, "c", F.col("c") + 1)).alias("c"))
+    rows = rows.join(near, ["region", "c"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb2") - 1))).withColumn("other", code(F.col("c2"), F.col("block")))
+    rows = rows.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "root", "own", "n", "bands", "text")
     rows = rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
     return rows.mapInArrow(_compare(percent), "a long, b long").distinct()
 
@@ -286,18 +319,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sk = materialize(sketches(docs, id_col, text_col), "sketches")
     classes = materialize(sk.where("id is not null and fp is not null").groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    mine = sk.where("fp is not null").join(classes.select(F.col("rep").alias("id"), F.col("fp").alias("f")), "id").where("fp = f").select("id", "sk", "bands")
+    mine = sk.where("fp is not null").join(classes.select(F.col("rep").alias("id"), F.col("fp").alias("f")), "id").where("fp = f").select("id", "n", "bands")
     mine = materialize(mine, "reps")
     bands = mine.select("id", F.explode("bands").alias("key"))
     pivots = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
     pivots = materialize(pivots.select("key", "pivot"), "pivots")  # so that the join may split a hot bucket
     buckets = materialize(bands.join(pivots, "key"), "buckets")
-    wanted = buckets.select("id").distinct()
-    sets = materialize(whole_sets(text.join(wanted, "id", "left_semi")), "sets")
     star = buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = materialize(verified(star, mine, sets, percent), "links")
+    texts = text.join(buckets.select("id").distinct(), "id", "left_semi")
+    links = materialize(verified(star, mine.select("id", "n"), texts, percent), "links")
     roots = components(links)
-    more = materialize(unresolved_links(buckets, roots, mine, sets, percent), "links")
+    more = materialize(unresolved_links(buckets, roots, mine, text, percent), "links")
     if not more.isEmpty():
         roots = components(links.union(more))
     final = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("fp").alias("f"), F.coalesce("root", "rep").alias("component_id"))
