@@ -301,10 +301,34 @@ def test_markup(html, text):
 
 
 def test_long_and_odd_pages_end_soon():
-    for h in ("<" * 200_000, "<a href='" * 20_000, "<div>" * 20_000 + "x", "<p>y" * 50_000, "<b>" * 50_000, "</p>" * 50_000, "&" * 100_000, "<!--" * 50_000):
+    for h in ("<" * 200_000, "<a href='" * 20_000, "<div>" * 20_000 + "x", "<p>y" * 50_000, "<b>" * 50_000, "</p>" * 50_000, "&" * 100_000, "<!--" * 50_000, "<p><div>" + "<b>" * 40_000 + "<p>x</p>" * 40_000, "<p><div>" + "<h1>" * 40_000 + "<p></b>" * 40_000, "<div><article>" * 20_000 + "x"):
         extract(h)
 
 
+def test_deep_pages_are_neither_flattened_nor_too_deep():
+    deep = "<div>" * 3000 + "<p>inner" + "</div>" * 3000
+    root = html_extract.parse(deep)
+    order = html_extract.number(root, shapes := {})
+    assert len(order) == 3002 and order[0].size == 3002 and extract(deep) == "inner"
+    other = html_extract.parse("<div>" * 1500 + "<ul><li>x</ul><p>other" + "</div>" * 1500)
+    html_extract.number(other, shapes)
+    assert len(html_extract.align(root, other, {})) == 1501
+    assert len(html_extract.align(other, root, {})) == 1501
+
+
+@pytest.mark.parametrize("raw", ["script", "style", "noscript"])
+def test_end_tags_are_found_whatever_lower_case_does_to_lengths(raw):
+    assert extract("İ" * 12 + f"<p>one</p><{raw}>x</{raw.upper()} ><p>two</p>") == "İ" * 12 + "\none\ntwo"
+    assert extract(f"<p>one</p><{raw}>x</{raw[:-1]}\u017f>y</{raw}>two") == "one\ntwo"
+
+
+def test_tags_nest_as_browsers_nest_them():
+    assert extract("<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul>") == "a\nb\nc\nd\ne"
+    assert extract("<p>a<div>b</p>c</div>d") == "a\nb\nc\nd"
+    assert extract("<table><tr><td>a<p>b<td>c<tr><th>d</table><p>e<b>f<p>g</b>h") == "a\nb\nc\nd\nef\ngh"
+    assert extract("<div><i>a</div>b</i><dl><dt>c<dd>d<dt>e</dl>") == "a\nb\nc\nd\ne"
+
+
 def soup(n, k):
     """A page without telling tags or classes: template in x and z, content in y."""
     rng = random.Random(n)

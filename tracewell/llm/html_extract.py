@@ -57,6 +57,8 @@ REFERENCES, KIND_CHARS = 3, 2000
 SKELETON, DEPTH = frozenset("html body div main article section nav header footer aside form center table".split()), 5
 #: Reference pages up to so many bytes in all are broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Characters of reference pages that a task holds before it sends them on.
+HELD_CHARS = 16 << 20
 #: Pairs of blocks in a grid in memory, and for which two lists are matched exactly.
 MAX_GRID, MAX_EXACT = 40_000, 1_000_000
 #: Kinds of marks, in Block.main.
@@ -68,13 +70,13 @@ MOST = 0.5
 class Block:
     """A block element: its tag, whether markup rules it out (worded: only a word of class or id does) or marks it, and its items: runs of text and blocks, in order."""
 
-    __slots__ = ("tag", "skip", "worded", "main", "items", "parent", "shape", "number", "own")
+    __slots__ = ("tag", "skip", "worded", "main", "items", "parent", "shape", "number", "size", "own")
 
     def __init__(self, tag: str, parent: Block | None = None):
         self.tag, self.parent = tag, parent
         self.skip, self.worded, self.main = False, False, 0
         self.items: list = []
-        self.shape = self.number = -1
+        self.shape = self.number = self.size = -1
         self.own: str | None = None
 
     def blocks(self) -> list[Block]:
@@ -116,12 +118,73 @@ def _rules(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool, int]:
     return skip, (whole if main else some) and tag not in ("html", "body"), main
 
 
+class _Open:
+    """The open elements: inline ones with the block they are in. Each question about them is answered from the tops of short lists, however deep the page."""
+
+    def __init__(self, root: Block):
+        self.stack: list[tuple[str, Block]] = [("#page", root)]
+        self.at: dict[str, list[int]] = {}  # of each tag, where it is open
+        self.blocks, self.scopes = [0], [0]  # where elements of BLOCK and SCOPE are open
+        self.mains = 0
+
+    @property
+    def here(self) -> Block:
+        return self.stack[-1][1]
+
+    def push(self, tag: str, block: Block, own: bool) -> None:
+        k = len(self.stack)
+        self.stack.append((tag, block))
+        self.at.setdefault(tag, []).append(k)
+        if tag in BLOCK:
+            self.blocks.append(k)
+        if tag in SCOPE:
+            self.scopes.append(k)
+        self.mains += own and bool(block.main)
+
+    def close(self, depth: int) -> bool:
+        """Ends all elements from depth on; whether a block was among them."""
+        ended = False
+        while len(self.stack) > depth:
+            tag, block = self.stack.pop()
+            k, own = len(self.stack), block is not self.stack[-1][1]
+            ended = ended or own or tag in BLOCK
+            self.at[tag].pop()
+            for places in (self.blocks, self.scopes):
+                if places[-1] == k:
+                    places.pop()
+            self.mains -= own and bool(block.main)
+        return ended
+
+    def last(self, tags) -> int:
+        """Where the innermost open element of one of the tags is; -1 if there is none."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=-1)
+
+    def end(self, tag: str) -> bool:
+        """An end tag: ends its element and what is in it. An inline one doesn't reach out of its block, and stray ones end nothing."""
+        k = self.last((tag,))
+        return k > 0 and (tag in BLOCK or k > self.blocks[-1]) and self.close(k)
+
+    def begin(self, tag: str) -> bool:
+        """A block's start tag: ends the open elements that it implies the end of, within its scope."""
+        ends = ENDS.get(tag, set()) | ({"p"} if tag not in ("option", "button") else set())
+        ended = False
+        while (k := self.last(ends)) > self.scopes[-1]:
+            ended = self.close(k) or ended
+            if tag in ("li", "dt", "dd", "option") or self.stack[-1][0] not in ends:
+                break
+        return ended
+
+
+def _raw_end(tag: str, known: dict = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}) -> re.Pattern:
+    return known[tag]
+
+
 def parse(page: str | None) -> Block:
     """The page as a tree of blocks. Any text is a page: unclosed and stray tags are mended as browsers mend the usual ones."""
     root = Block("#page")
     page = page or ""
-    stack: list[tuple[str, Block]] = [("#page", root)]  # open elements, inline ones with the block they are in
-    here, run = root, None
+    open_ = _Open(root)
+    run: list | None = None
     worded: list[Block] = []
     marks: list[Block] = []
 
@@ -129,18 +192,10 @@ def parse(page: str | None) -> Block:
         nonlocal run
         if run is None:
             run = []
-            here.items.append(run)
+            open_.here.items.append(run)
         run.append(text)
 
-    def close(depth: int) -> None:
-        nonlocal here, run
-        block = any(t in BLOCK or b is not stack[k - 1][1] for k, (t, b) in enumerate(stack) if k >= depth)
-        del stack[depth:]
-        here = stack[-1][1]
-        if block:
-            run = None
-
-    at, lower = 0, None
+    at = 0
     for_token = _TOKEN.search
     while m := for_token(page, at):
         if m.start() > at:
@@ -153,50 +208,36 @@ def parse(page: str | None) -> Block:
             continue
         tag = tag.lower()
         if end:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK and tag not in BLOCK:
-                    break  # an inline end tag doesn't reach out of its block
+            if open_.end(tag) or tag == "p":  # a stray </p> is an empty paragraph
+                run = None
             continue
         if tag in RAW:
-            lower = page.lower() if lower is None else lower
-            stop = lower.find(f"</{tag}", at)
-            at = len(page) if stop < 0 else (page.find(">", stop) + 1 or len(page))
+            stop = _raw_end(tag).search(page, at)
+            at = len(page) if stop is None else (page.find(">", stop.end()) + 1 or len(page))
             continue
         if tag == "br":
             put(" ")
             continue
         if tag in VOID and tag != "hr":
             continue
-        if tag in BLOCK:
-            ends = ENDS.get(tag, set()) | ({"p"} if tag not in ("option", "button") else set())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ends:
-                    close(k)
-                    if tag in ("li", "dt", "dd", "option") or stack[-1][0] not in ends:
-                        break
-                elif stack[k][0] in SCOPE:
-                    break
-        inside = any(b.main for _, b in stack)
-        skip, word, main = _rules(tag, attrs, inside)
-        if tag in BLOCK or skip or word or main:
-            block = Block(tag, here)
+        if tag in BLOCK and open_.begin(tag):
+            run = None
+        skip, word, main = _rules(tag, attrs, open_.mains > 0)
+        own = tag in BLOCK or skip or word or bool(main)
+        block = open_.here
+        if own:
+            block = Block(tag, open_.here)
             block.skip, block.worded, block.main = skip or word, word and not skip, main
             if block.worded:
                 worded.append(block)
             if main:
                 marks.append(block)
-            here.items.append(block)
-            here, run = block, None
+            open_.here.items.append(block)
+            run = None
             if tag == "hr":
-                here = stack[-1][1]
                 continue
         if not attrs.endswith("/") or tag in BLOCK:
-            stack.append((tag, here))
-            if len(stack) > 500:  # deeper markup is flattened
-                close(len(stack) - 1)
+            open_.push(tag, block, own)
     if at < len(page):
         cut = _OPEN.search(page, at)  # a tag that the page's end cuts off is no text
         put(page[at : cut.start() if cut else len(page)])
@@ -207,12 +248,13 @@ def parse(page: str | None) -> Block:
 
 def _release(root: Block, worded: list[Block], marks: list[Block]) -> None:
     """Lets the blocks of worded count again that hold all marked articles that count, or, without any, most of the page's text."""
-    live = [m for m in marks if not any(b.skip and not b.worded for b in (m, *_above(m)))]
+    order = _walk(root)
+    firm, out = _held(order, [b for b in order if b.skip and not b.worded]), _ruled_out(order)
+    live = [m for m in marks if m not in firm]
     if live:
-        if all(map(_ruled_out, live)):  # else those in a block of comments or related pages stay out
-            for m in live:
-                for b in (m, *_above(m)):
-                    b.skip = b.skip and not b.worded
+        if all(m in out for m in live):  # else those in a block of comments or related pages stay out
+            for b in _with_above(live):
+                b.skip = b.skip and not b.worded
         return
     order, sizes = [root], {}
     for b in order:
@@ -225,7 +267,7 @@ def _release(root: Block, worded: list[Block], marks: list[Block]) -> None:
 
 
 def number(root: Block, shapes: dict) -> list[Block]:
-    """The blocks in page order, with numbers, and with shapes: equal where tags agree all the way down."""
+    """The blocks in page order, with numbers, sizes (blocks in them, and themselves), and shapes: equal where tags agree all the way down."""
     order, todo = [], [root]
     while todo:
         b = todo.pop()
@@ -233,20 +275,42 @@ def number(root: Block, shapes: dict) -> list[Block]:
         order.append(b)
         todo += reversed(b.blocks())
     for b in reversed(order):
-        b.shape = shapes.setdefault((b.tag, *(c.shape for c in b.blocks())), len(shapes))
+        held = b.blocks()
+        b.size = 1 + sum(c.size for c in held)
+        b.shape = shapes.setdefault((b.tag, *(c.shape for c in held)), len(shapes))
     return order
 
 
 def align(one: Block, two: Block, memo: dict) -> list[tuple[Block, Block]]:
     """Simple tree matching: the pairs of a largest order- and parent-keeping match of blocks with equal tags."""
+    missing: list[tuple[Block, Block]] = []
 
     def weight(a: Block, b: Block) -> int:
+        """The size of a largest match of a and b, by shape; one not known yet is noted in missing and counts 0."""
         if a.tag != b.tag:
             return 0
-        key = (a.shape, b.shape)
-        if key not in memo:
-            memo[key] = 1 + sum(weight(x, y) for x, y in children(a.blocks(), b.blocks()))
-        return memo[key]
+        if a.shape == b.shape:
+            return a.size
+        known = memo.get((a.shape, b.shape))
+        if known is None:
+            missing.append((a, b))
+        return known or 0
+
+    def weigh(a: Block, b: Block) -> None:
+        """Puts the weights that the match of the children of a and b needs into memo, from the leaves up and without recursion."""
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            if (x.shape, y.shape) in memo:
+                todo.pop()
+                continue
+            missing.clear()
+            total = 1 + sum(weight(c, d) for c, d in children(x.blocks(), y.blocks()))
+            if missing:
+                todo += {(c.shape, d.shape): (c, d) for c, d in missing}.values()
+            else:
+                memo[x.shape, y.shape] = total
+                todo.pop()
 
     def children(p: list[Block], q: list[Block], texts: bool = False) -> list[tuple[Block, Block]]:
         head, tail = 0, 0
@@ -313,7 +377,14 @@ def align(one: Block, two: Block, memo: dict) -> list[tuple[Block, Block]]:
         a, b = todo.pop()
         if a.tag == b.tag:
             pairs.append((a, b))
-            todo += children(a.blocks(), b.blocks(), True)
+            while True:
+                missing.clear()
+                found = children(a.blocks(), b.blocks(), True)
+                if not missing:
+                    break
+                for c, d in {(c.shape, d.shape): (c, d) for c, d in missing}.values():
+                    weigh(c, d)
+            todo += found
     return pairs
 
 
@@ -350,12 +421,36 @@ def _texts(b: Block) -> list[str]:
     return out
 
 
-def _ruled_out(b: Block | None) -> bool:
-    while b is not None:
-        if b.skip:
-            return True
-        b = b.parent
-    return False
+def _walk(root: Block) -> list[Block]:
+    """All blocks, parents before what they hold."""
+    order = [root]
+    for b in order:
+        order += b.blocks()
+    return order
+
+
+def _held(order: list[Block], ones: list[Block]) -> set[Block]:
+    """The blocks of order, parents first, that are among ones, or lie in one."""
+    found = set(ones)
+    if found:
+        for b in order:
+            if b.parent in found:
+                found.add(b)
+    return found
+
+
+def _ruled_out(order: list[Block]) -> set[Block]:
+    return _held(order, [b for b in order if b.skip])
+
+
+def _with_above(blocks: list[Block]) -> set[Block]:
+    """blocks and all that hold them."""
+    found: set[Block] = set()
+    for b in blocks:
+        while b is not None and b not in found:
+            found.add(b)
+            b = b.parent
+    return found
 
 
 def _size(b: Block, template: set[int] = frozenset()) -> int:
@@ -369,38 +464,37 @@ def _size(b: Block, template: set[int] = frozenset()) -> int:
     return size
 
 
-def marked_articles(order: list[Block]) -> list[Block]:
-    """The elements that the page marks as its article, outermost and in page order, with the headings and leads that their main holds before them."""
-    marks = [b for b in order if b.main and not _ruled_out(b)]
+def marked_articles(order: list[Block], out: set[Block]) -> list[Block]:
+    """The elements that the page marks as its article, outermost and in page order, with the headings and leads that their main holds before them. out: the blocks ruled out."""
+    marks = [b for b in order if b.main and b not in out]
     if not any(b.tag == "article" for b in marks):
-        return _outermost(marks)
+        return _outermost(order, marks)
     found = [b for b in marks if b.main != MAIN]
     last = max(b.number for b in found)
-    mains = {b for b in marks if b.main == MAIN and any(b in _above(a) for a in found)}
+    above = _with_above([b.parent for b in found])
+    mains = {b for b in marks if b.main == MAIN and b in above}
     if mains:
-        for b in order[: last]:
-            head = b.tag in HEADINGS or b.tag == "p" and b.parent in mains
-            if head and not _ruled_out(b) and any(a in mains for a in _above(b)):
-                found.append(b)
-    return _outermost(sorted(found, key=lambda b: b.number))
-
-
-def _outermost(blocks: list[Block]) -> list[Block]:
-    held = set(blocks)
-    return [b for b in blocks if not any(a in held for a in _above(b))]
+        inside = _held(order, list(mains)) - mains
+        found += [b for b in order[:last] if b in inside and b not in out and (b.tag in HEADINGS or b.tag == "p" and b.parent in mains)]
+    return _outermost(order, found)
 
 
-def _above(b: Block):
-    while (b := b.parent) is not None:
-        yield b
+def _outermost(order: list[Block], blocks: list[Block]) -> list[Block]:
+    """Those of blocks that lie in no other, in page order."""
+    if len(blocks) < 2:
+        return blocks
+    own = set(blocks)
+    inside = _held(order, [b for b in order if b.parent in own])
+    return [b for b in order if b in own and b not in inside]
 
 
 def region_of(reference: list[Block], counts: dict[int, tuple[int, int, int]]) -> int:
     """The number of the deepest reference node that holds REGION of the varying text; 0 is the whole page."""
     mass = [0] * len(reference)
+    out = _ruled_out(reference)
     for b in reversed(reference):
         met, same, chars = counts.get(b.number, (0, 0, 0))
-        if not _ruled_out(b) and not is_template(met, same):
+        if b not in out and not is_template(met, same):
             mass[b.number] += chars
         if b.parent is not None:
             mass[b.parent.number] += mass[b.number]
@@ -431,24 +525,24 @@ def content(root: Block, order: list[Block], reference: list[Block] | None, coun
                 template.add(b.number)
             if a.number == region:
                 top = b
-        for b in (top, *_above(top)):
+        for b in _with_above([top]):
             b.skip = b.skip and not b.worded
-    tops = [top]
-    if marks := marked_articles(order):
+    tops, out = [top], _ruled_out(order)
+    if marks := marked_articles(order, out):
         # no region (all of the page), or marked text outside it: the marks are the region
-        if top.tag in ("#page", "html", "body") or not all(m is top or top in _above(m) for m in marks):
+        if top.tag in ("#page", "html", "body") or not _held(order, [top]).issuperset(marks):
             tops = marks
         if sum(_size(m, template) for m in marks) < (1 - MOST) * sum(map(_size, marks)):
             template = set()
-    lines = _lines(tops, template)
+    lines = _lines(out, tops, template)
     if not lines and (template or tops != [root]):  # copies of one page have no varying text, and a page may differ from its host's others
-        lines = _lines(tops, set()) or _lines([root], template) or _lines([root], set())
+        lines = _lines(out, tops, set()) or _lines(out, [root], template) or _lines(out, [root], set())
     return "\n".join(lines)
 
 
-def _lines(tops: list[Block], template: set[int]) -> list[str]:
+def _lines(ruled_out: set[Block], tops: list[Block], template: set[int]) -> list[str]:
     out: list[str] = []
-    todo: list = [top for top in reversed(tops) if not _ruled_out(top)]
+    todo: list = [top for top in reversed(tops) if top not in ruled_out]
     while todo:
         x = todo.pop()
         if type(x) is not Block:
@@ -484,6 +578,7 @@ def _references(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         best: dict = {}
+        held = 0
         for b in batches:
             for host, page, html in zip(*(b.column(k) for k in range(3)), strict=True):
                 h, p, text = host.as_py(), page.as_py(), html.as_py() or ""
@@ -491,11 +586,12 @@ def _references(pages: DataFrame) -> DataFrame:
                 if chars := _length(root, KIND_CHARS):
                     rank = (p is None, p or 0, text)
                     old = best.setdefault((h, skeleton(root)), [0, rank])
+                    held += len(text) if old[1] is rank else 0
                     old[0] += chars
                     old[1] = min(old[1], rank)
-                if len(best) > 500:
+                if len(best) > 500 or held > HELD_CHARS:
                     yield send(best)
-                    best = {}
+                    best, held = {}, 0
         if best:
             yield send(best)
 
@@ -524,7 +620,7 @@ def _length(root: Block, most: int) -> int:
 
 def _with_host_rows(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """pages with the columns of their host's row. hosts is broadcast if it was measured to be small; else a third of all pages may be one host's, so the join is salted."""
-    size = hosts.agg(F.sum("size")).first()[0] or 0
+    size = hosts.agg(F.sum(F.col("size") + 40 * (F.size("counts") if "counts" in hosts.columns else F.lit(0)))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         return pages.join(F.broadcast(hosts), "host", "left")
     salts = 64
