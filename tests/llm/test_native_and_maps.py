@@ -236,6 +236,87 @@ def test_media_rejects_broken_files_and_reads_other_layouts():
     assert t.codec == "mp4a" and t.seconds == 5 and len(t.keyframes) == 10 and media.payload(mdat, t) == data
 
 
+def track_of(*tables, head=b""):
+    """A moov with one track of these sample tables."""
+    b, f = media.box, media.full
+    tkhd = f(b"tkhd", media.struct.pack(">IIII", 0, 0, 7, 0))
+    mdhd = f(b"mdhd", media.struct.pack(">IIII", 0, 0, 10, 50))
+    return b(b"moov", head, b(b"trak", tkhd, b(b"mdia", mdhd, b(b"minf", b(b"stbl", *tables)))))
+
+
+def numbers(*n):
+    return media.struct.pack(f">{len(n)}I", *n)
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"mdhd")))),
+        media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"hdlr")), media.box(b"tkhd"))),
+        track_of(media.full(b"stsz", numbers(1, 2)), media.full(b"stco", numbers(2, 0, 0)), media.full(b"stsc", numbers(2, 2, 1, 1, 1, 1, 1))),
+        track_of(media.full(b"stsz", numbers(1, 2)), media.full(b"stco", numbers(1, 0)), media.full(b"stsc", numbers(1, 1, 2, 1)), media.full(b"stts", numbers(1, 2**32 - 1, 1))),
+        track_of(media.full(b"stsz", numbers(1, 2**32 - 1)), media.full(b"stco", numbers(1, 0)), media.full(b"stsc", numbers(1, 1, 2**32 - 1, 1))),
+        track_of(media.full(b"stsz", numbers(1, 2)), media.full(b"stco", numbers(1, 0)), media.full(b"stsc", numbers(1, 1, 2**32 - 1, 1))),
+        track_of(media.full(b"stsz", numbers(0, 2**31))),
+        track_of(media.full(b"stsz", numbers(1, 2)), media.full(b"stco", numbers(1, 2**32 - 1)), media.full(b"stsc", numbers(1, 1, 2, 1))),
+        track_of(media.full(b"stsz", numbers(1, 2)), media.full(b"co64", numbers(1, 2**32 - 1, 2**32 - 1)), media.full(b"stsc", numbers(1, 1, 2, 1))),
+        track_of() + media.box(b"moof", media.box(b"traf", media.full(b"trun", numbers(1)))),
+        track_of() + media.box(b"moof", media.box(b"traf", media.full(b"tfhd", numbers(7)), media.full(b"trun", numbers(2**31)))),
+        track_of() + media.box(b"moof", media.box(b"traf", media.full(b"tfhd", numbers(7)), media.full(b"trun", numbers(9, 1), flags=0x200))),
+    ],
+)
+def test_hostile_files_are_errors_in_bounded_memory(data):
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    with pytest.raises(media.MediaError):
+        media.probe(data)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000
+
+
+def test_nesting_of_any_depth_is_walked():
+    data = b""
+    for _ in range(3000):
+        data = media.box(b"moov", data)
+    assert media.probe(data) == []
+    assert len(media.probe(media.box(b"udta", track_of()))) == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=80), st.lists(st.tuples(st.integers(0, 900), st.integers(0, 255)), max_size=6))
+def test_any_bytes_are_tracks_or_a_media_error(raw, changes):
+    data = bytearray(media.mux(media.pad(raw)))
+    for at, value in changes:
+        data[at % len(data)] = value
+    for some in (raw, bytes(data)):
+        try:
+            media.probe(some)
+        except media.MediaError:
+            pass
+
+
+def test_fragmented_files_and_compact_sizes():
+    payload = bytes(range(100))
+    trex = media.box(b"mvex", media.full(b"trex", numbers(7, 1, 5, 10, 0x10000)))
+    head = track_of(media.full(b"stsz", numbers(0, 0)), head=trex)
+
+    def moof(data_offset):
+        first = media.box(b"traf", media.full(b"tfhd", numbers(7), flags=0x20000), media.full(b"trun", numbers(3, data_offset, 0, 20, 30, 10), flags=0x205), media.full(b"trun", numbers(4)))
+        return media.box(b"moof", media.full(b"mfhd", numbers(1)), first)
+
+    frag = moof(len(moof(0)) + 8)
+    data = head + frag + media.box(b"mdat", payload)
+    (t,) = media.probe(data)
+    start = len(head) + len(frag) + 8
+    assert t.sizes.tolist() == [20, 30, 10, 10, 10, 10, 10] and t.offsets[0] == start and media.payload(data, t) == payload
+    assert t.keyframes.tolist() == [0] and t.duration == 50 and t.deltas.tolist() == [5] * 7
+    for bits, packed in ((4, b"\x53\x20"), (8, b"\x05\x03\x02"), (16, b"\0\x05\0\x03\0\x02")):
+        tables = lambda at: track_of(media.full(b"stz2", numbers(bits, 3), packed), media.full(b"stco", numbers(1, at)), media.full(b"stsc", numbers(1, 1, 3, 1)))  # noqa: B023, E731
+        data = tables(len(tables(0)) + 8) + media.box(b"mdat", b"0123456789")
+        (t,) = media.probe(data)
+        assert t.sizes.tolist() == [5, 3, 2] and media.payload(data, t) == b"0123456789"
+
+
 def test_media_columns(spark):
     df = docs(spark, ["é" * 1000, None, "", "é" * 1000], [1, 2, None, 1])
     rows = media.media_digests(df).collect()

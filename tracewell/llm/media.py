@@ -1,7 +1,7 @@
 """Media columns: ISO base media files.
 
 `mux` lays bytes down as the samples of one track (ftyp, moov with its sample tables, mdat);
-`probe` walks nested boxes and decodes the sample tables into codec, duration and the
+`probe` walks nested boxes and decodes the sample tables, those of movie fragments too, into codec, duration and the
 byte ranges of keyframes, without touching a payload; `payload` reads the samples back through those
 tables. The parser takes any box order, 32- and 64-bit box sizes and chunk offsets.
 """
@@ -24,6 +24,8 @@ TIMESCALE = 48_000
 CODEC = b"raw8"
 #: Fixed values of the format: boxes that only hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"moof", b"traf", b"mvex"}
+#: Of the boxes that hold a box, so many are told; deeper nesting is walked all the same.
+DEPTH = 16
 
 
 class MediaError(ValueError):
@@ -90,10 +92,15 @@ def mux(samples: bytes, unit: int = SAMPLE, per_chunk: int = PER_CHUNK) -> bytes
     return ftyp + made + box(b"mdat", samples)
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()):
-    """(path, start of body, end of body) of every box, containers before what they hold."""
-    end = len(data) if end is None else end
-    while start < end:
+def walk(data: bytes, start: int = 0, end: int | None = None):
+    """(path, start of body, end of body) of every box, containers before what they hold. Boxes may nest to any depth."""
+    ends, kinds = [len(data) if end is None else end], []
+    while ends:
+        if start == ends[-1]:
+            ends.pop()
+            kinds[-1:] = []
+            continue
+        end = ends[-1]
         if end - start < 8:
             raise MediaError(f"box header cut off at {start}")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -106,10 +113,13 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
             size = end - start
         if size < body - start or start + size > end:
             raise MediaError(f"box {kind!r} at {start} leaves its container")
-        yield (*path, kind), body, start + size
+        yield (*kinds[-DEPTH:], kind), body, start + size
         if kind in CONTAINERS:
-            yield from walk(data, body, start + size, (*path, kind))
-        start += size
+            ends.append(start + size)
+            kinds.append(kind)
+            start = body
+        else:
+            start += size
 
 
 @dataclass
@@ -124,6 +134,7 @@ class Track:
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     keyframes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    number: int = 0
 
     @property
     def seconds(self) -> float:
@@ -133,72 +144,181 @@ class Track:
         return [(int(self.offsets[k]), int(self.offsets[k] + self.sizes[k])) for k in self.keyframes]
 
 
+class _Tables:
+    """The sample tables of one track as they are met, and the samples of its fragments."""
+
+    def __init__(self):
+        self.raw: dict[str, np.ndarray] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # offsets, sizes, deltas, whether a keyframe
+
+    def samples(self, data: bytes):
+        """offsets, sizes, deltas and keyframe marks of the samples that the tables describe."""
+        raw = self.raw
+        sizes = raw.get("sizes", np.zeros(0, np.int64))
+        none = np.zeros(0, np.int64)
+        if not len(sizes):
+            return none, none, none, none.astype(bool)
+        chunks, runs = raw.get("chunks", none), raw.get("runs", none.reshape(0, 3))
+        if not len(chunks) or not len(runs):
+            raise MediaError("samples without chunks")
+        if runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > len(chunks):
+            raise MediaError("the chunk runs are out of order")
+        times = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+        each = np.repeat(runs[:, 1], times)
+        if int(each.astype(object).sum()) != len(sizes):
+            raise MediaError("chunk and size tables disagree")
+        of = np.repeat(np.arange(len(chunks)), each)
+        before = np.cumsum(sizes) - sizes
+        first = np.cumsum(each) - each
+        offsets = chunks[of] + before - before[np.minimum(first, len(sizes) - 1)][of]
+        deltas = np.zeros(len(sizes), np.int64)
+        if "stts" in raw:
+            if int(raw["stts"][:, 0].astype(object).sum()) != len(sizes):
+                raise MediaError("time and size tables disagree")
+            deltas = np.repeat(raw["stts"][:, 1], raw["stts"][:, 0])
+        key = np.ones(len(sizes), bool)
+        if "sync" in raw:
+            if ((raw["sync"] < 1) | (raw["sync"] > len(sizes))).any():
+                raise MediaError("a keyframe is no sample")
+            key[:] = False
+            key[raw["sync"] - 1] = True
+        return offsets, sizes, deltas, key
+
+    def fill(self, track: Track, data: bytes) -> None:
+        parts = [self.samples(data), *self.parts]
+        offsets, sizes, deltas, key = (np.concatenate(p) for p in zip(*parts, strict=True))
+        if (offsets < 0).any() or (sizes < 0).any() or (offsets > len(data) - sizes).any():
+            raise MediaError("a sample leaves the file")
+        track.offsets, track.sizes, track.deltas, track.keyframes = offsets, sizes, deltas, np.flatnonzero(key)
+        if self.parts:
+            track.duration = max(track.duration, int(deltas.astype(object).sum()))
+
+
+class _Fragment:
+    """A track fragment: what its header says, its defaults filled in from those of the track."""
+
+    def __init__(self, data: bytes, at: int, end: int, moof: int, defaults: dict[int, tuple[int, int, int]]):
+        flags, self.track = int.from_bytes(data[at + 1 : at + 4], "big"), _unpack(">I", data, at + 4, end)[0]
+        self.base, place = moof, at + 8
+        self.delta, self.size, self.flags = defaults.get(self.track, (0, 0, 0))
+        for bit, kind, name in ((0x1, ">Q", "base"), (0x2, ">I", None), (0x8, ">I", "delta"), (0x10, ">I", "size"), (0x20, ">I", "flags")):
+            if flags & bit:
+                value = _unpack(kind, data, place, end)[0]
+                place += struct.calcsize(kind)
+                if name:
+                    setattr(self, name, value)
+        self.next = self.base
+
+    def run(self, data: bytes, at: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        flags, count = int.from_bytes(data[at + 1 : at + 4], "big"), _unpack(">I", data, at + 4, end)[0]
+        place, first = at + 8, None
+        start = self.next
+        if flags & 0x1:
+            start = self.base + _unpack(">i", data, place, end)[0]
+            place += 4
+        if flags & 0x4:
+            first = _unpack(">I", data, place, end)[0]
+            place += 4
+        have = [name for bit, name in ((0x100, "delta"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+        if have and place + 4 * len(have) * count > end or not have and count * max(1, self.size) > len(data):
+            raise MediaError("a fragment's run is cut off")
+        cols = np.frombuffer(data, ">u4", len(have) * count, place).astype(np.int64).reshape(count, len(have)) if have else np.zeros((count, 0), np.int64)
+        of = lambda name, default: cols[:, have.index(name)] if name in have else np.full(count, default, np.int64)
+        sizes, deltas, marks = of("size", self.size), of("delta", self.delta), of("flags", self.flags).copy()
+        if first is not None and count:
+            marks[0] = first
+        self.next = start + int(sizes.sum())
+        return start + np.cumsum(sizes) - sizes, sizes, deltas, (marks & 0x10000) == 0
+
+
+def _unpack(kind: str, data: bytes, at: int, end: int) -> tuple:
+    if at + struct.calcsize(kind) > end:
+        raise MediaError(f"a box is cut off at {at}")
+    return struct.unpack_from(kind, data, at)
+
+
+def _table(data: bytes, at: int, end: int, width: int, dtype: str) -> np.ndarray:
+    """The entries after a count at `at`; never more than the box holds."""
+    n = _unpack(">I", data, at, end)[0]
+    if at + 4 + n * width > end:
+        raise MediaError(f"a table is cut off at {at}")
+    found = np.frombuffer(data, dtype, n * width // np.dtype(dtype).itemsize, at + 4)
+    if len(found) and int(found.max()) >= 2**62:
+        raise MediaError("a table entry is out of range")
+    return found.astype(np.int64)
+
+
+def _sizes(kind: bytes, data: bytes, at: int, end: int) -> np.ndarray:
+    same, n = _unpack(">II", data, at + 4, end)
+    if kind == b"stz2":  # 4, 8 or 16 bits an entry
+        bits = same & 255
+        if bits not in (4, 8, 16) or at + 12 + (n * bits + 7) // 8 > end:
+            raise MediaError("a size table is cut off")
+        if bits == 4:
+            pairs = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12)
+            return np.stack([pairs >> 4, pairs & 15], 1).ravel()[:n].astype(np.int64)
+        return np.frombuffer(data, f">u{bits // 8}", n, at + 12).astype(np.int64)
+    if same:
+        if n * same > len(data):
+            raise MediaError("samples leave the file")
+        return np.full(n, same, np.int64)
+    return _table(data, at + 8, end, 4, ">u4")
+
+
 def probe(data: bytes) -> list[Track]:
-    """The tracks of a file, from its headers and sample tables alone."""
+    """The tracks of a file, from its headers, sample tables and fragments alone. Any bytes give tracks or a MediaError.
+
+    Work and memory are bounded by the file's length: no table is expanded to more samples than its size table, which lies in the file, or
+    the file's bytes allow. Samples of movie fragments follow those of the tables. Composition offsets (ctts) move no byte and are not read.
+    """
     tracks: list[Track] = []
-    raw: dict[str, np.ndarray] = {}
-
-    def table(kind: str, at: int, end: int, width: int, dtype: str, skip: int = 4) -> np.ndarray:
-        n = struct.unpack_from(">I", data, at + skip)[0]
-        first = at + skip + 4
-        if first + n * width > end:
-            raise MediaError(f"table {kind} is cut off")
-        return np.frombuffer(data, dtype, n * width // np.dtype(dtype).itemsize, first).astype(np.int64)
-
-    def close() -> None:
-        if not tracks or "sizes" not in raw:
-            return
-        t, sizes = tracks[-1], raw["sizes"]
-        chunks, runs = raw.get("chunks", np.zeros(0, np.int64)), raw.get("runs", np.zeros((0, 3), np.int64))
-        if len(sizes):
-            if not len(chunks) or not len(runs):
-                raise MediaError("samples without chunks")
-            ends = np.append(runs[1:, 0], len(chunks) + 1)
-            each = np.repeat(runs[:, 1], ends - runs[:, 0])
-            if each.sum() != len(sizes):
-                raise MediaError("chunk and size tables disagree")
-            of = np.repeat(np.arange(len(chunks)), each)
-            before = np.cumsum(sizes) - sizes
-            first = np.cumsum(each) - each
-            t.offsets = chunks[of] + before - before[np.minimum(first, len(sizes) - 1)][of]
-            if (t.offsets < 0).any() or (t.offsets + sizes > len(data)).any():
-                raise MediaError("a sample leaves the file")
-        t.sizes = sizes
-        t.deltas = np.repeat(raw["stts"][:, 1], raw["stts"][:, 0]) if "stts" in raw else np.zeros(len(sizes), np.int64)
-        t.keyframes = raw["sync"] - 1 if "sync" in raw else np.arange(len(sizes))
-        if ((t.keyframes < 0) | (t.keyframes >= len(sizes))).any():
-            raise MediaError("a keyframe is no sample")
-        raw.clear()
-
-    try:
-        for path, at, end in walk(data):
-            kind = path[-1]
-            if kind == b"trak":
-                close()
-                tracks.append(Track())
-            elif len(path) < 2 or b"trak" not in path:
-                continue
-            elif kind == b"mdhd":
-                wide = data[at] == 1
-                tracks[-1].timescale, tracks[-1].duration = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
-            elif kind == b"hdlr":
-                tracks[-1].handler = data[at + 8 : at + 12].decode("latin-1")
-            elif kind == b"stsd":
-                tracks[-1].codec = data[at + 12 : at + 16].decode("latin-1")
-            elif kind == b"stts":
-                raw["stts"] = table("stts", at, end, 8, ">u4").reshape(-1, 2)
-            elif kind == b"stsc":
-                raw["runs"] = table("stsc", at, end, 12, ">u4").reshape(-1, 3)
-            elif kind == b"stsz":
-                same = struct.unpack_from(">I", data, at + 4)[0]
-                raw["sizes"] = np.full(struct.unpack_from(">I", data, at + 8)[0], same, np.int64) if same else table("stsz", at, end, 4, ">u4", 8)
-            elif kind == b"stss":
-                raw["sync"] = table("stss", at, end, 4, ">u4")
-            elif kind in (b"stco", b"co64"):
-                raw["chunks"] = table("chunks", at, end, 8 if kind == b"co64" else 4, ">u8" if kind == b"co64" else ">u4")
-        close()
-    except struct.error as e:
-        raise MediaError(f"cut off: {e}") from None
+    tables: list[_Tables] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    fragment, moof = None, 0
+    for path, at, end in walk(data):
+        kind, inside = path[-1], b"trak" in path and len(path) > 1
+        if kind == b"trak":
+            tracks.append(Track())
+            tables.append(_Tables())
+        elif kind == b"moof":
+            moof = at - (16 if at >= 16 and data[at - 16 : at - 12] == b"\0\0\0\1" and data[at - 12 : at - 8] == b"moof" else 8)
+        elif kind == b"trex":
+            number, _, *three = _unpack(">5I", data, at + 4, end)
+            defaults[number] = tuple(three)
+        elif kind == b"tfhd":
+            fragment = _Fragment(data, at, end, moof, defaults)
+        elif kind == b"trun":
+            own = next((t for t, k in zip(tables, tracks, strict=True) if fragment and k.number == fragment.track), None)
+            if own is None:
+                raise MediaError("a run of samples without its track")
+            own.parts.append(fragment.run(data, at, end))
+        if not inside or not tracks:
+            continue
+        track, raw = tracks[-1], tables[-1].raw
+        if kind in (b"tkhd", b"mdhd"):
+            wide = _unpack("B", data, at, end)[0] == 1
+            if kind == b"tkhd":
+                track.number = _unpack(">I", data, at + (20 if wide else 12), end)[0]
+            else:
+                track.timescale, track.duration = _unpack(">IQ" if wide else ">II", data, at + (20 if wide else 12), end)
+                if track.duration == (2**64 - 1 if wide else 2**32 - 1):  # unknown
+                    track.duration = 0
+        elif kind == b"hdlr":
+            track.handler = _unpack("4s", data, at + 8, end)[0].decode("latin-1")
+        elif kind == b"stsd":
+            track.codec = _unpack("4s", data, at + 12, end)[0].decode("latin-1")
+        elif kind == b"stts":
+            raw["stts"] = _table(data, at + 4, end, 8, ">u4").reshape(-1, 2)
+        elif kind == b"stsc":
+            raw["runs"] = _table(data, at + 4, end, 12, ">u4").reshape(-1, 3)
+        elif kind in (b"stsz", b"stz2"):
+            raw["sizes"] = _sizes(kind, data, at, end)
+        elif kind == b"stss":
+            raw["sync"] = _table(data, at + 4, end, 4, ">u4")
+        elif kind in (b"stco", b"co64"):
+            raw["chunks"] = _table(data, at + 4, end, 8 if kind == b"co64" else 4, ">u8" if kind == b"co64" else ">u4")
+    for track, own in zip(tracks, tables, strict=True):
+        own.fill(track, data)
     return tracks
 
 
