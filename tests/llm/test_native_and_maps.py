@@ -54,6 +54,13 @@ def test_line_dedup(spark):
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()) == line_truth(rows)
 
 
+def test_line_dedup_of_clashing_columns(spark):
+    df = docs(spark, ["a line of text"] * 2).selectExpr("doc_id", "text", "'x' as n_lines", "'y' as N_Dropped", "7 as line_row", "8 as line_row_of", "9 as row_key_", "1 as sh", "2 as line_dropped")
+    out = dedup_lines(df)
+    assert out.columns == [*df.columns, "_n_lines", "_n_dropped"]
+    assert sorted((r.doc_id, r.n_lines, r.N_Dropped, r.line_row, r._n_lines, r._n_dropped, r.text) for r in out.collect()) == [(0, "x", "y", 7, 1, 0, "a line of text"), (1, "x", "y", 7, 1, 1, "")]
+
+
 def test_line_dedup_repeated_rows_null_ids_and_threshold(spark):
     df = docs(spark, ["a line of text", "a line of text", "a line of text"], [3, 3, None])
     out = sorted((r.doc_id is None, r.n_dropped, r.text) for r in dedup_lines(df).collect())
@@ -186,7 +193,7 @@ def test_other_spans_and_linear_time(spark):
     assert ("ssn", 48) in [(k, a) for k, a, *_ in pii.find_spans(text)]
     assert pii.find_spans("part 123-45-6789 in stock") == []
     assert pii.find_spans("GB82 WEST 1234 5698 7654 33") == []
-    for long in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "1.2." * 75_000, "+1" * 100_000, "A1" * 100_000, "1-" * 100_000):
+    for long in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "1.2." * 75_000, "+1" * 100_000, "A1" * 100_000, "1-" * 100_000, "415 555 2671 " * 20_000, "(1234)" * 50_000):
         pii.find_spans(long)
     out = pii.pii_spans(docs(spark, ["a@b.co 1.2.3.4", None, ""])).orderBy("doc_id").collect()
     assert [r.spans for r in out] == ["email:0:6,ip:7:14", "", ""] and [r.n_ip for r in out] == [1, 0, 0]
@@ -195,6 +202,18 @@ def test_other_spans_and_linear_time(spark):
     assert pii.pii_spans(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("Call (415) 555-2671 today", ["tel"]), ("box (415) 555-2671 today", []), ("order 415-555-2671, call it in", []), ("tel 0171 555 2671", ["tel"]), ("tel 1.234.567.8901", []),
+        ("tracking DE89370400440532013000", []), ("DE89370400440532013000", ["iban"]), ("tracking, account DE89370400440532013000", ["iban"]), ("ssn 078-05-1120", ["ssn"]), ("ssn on order 078-05-1120", []),
+        ("call 4111 1111 1111 1111", ["card"]), ("call +1 (415) 555-2671", ["phone"]), ("call 415 555 2671 or 4111 1111 1111 1111 or 415 555 2672", ["tel", "card", "tel"]),
+    ],
+)
+def test_context_speaks_for_and_against(text, kinds):
+    assert [k for k, *_ in pii.find_spans(text)] == kinds
+
+
 @pytest.mark.parametrize(
     "text, ibans",
     [

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.sources.scratch import delete, new_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: The white space of every contract here: space, and tab to carriage return.
@@ -33,28 +34,30 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; only where none is set (tests), a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tracewell-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+_WRITTEN: list[str] = []
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet in the shared folder, and read from there.
 
     It cuts lineage, so a lost executor costs a re-read and not a recomputation, and unlike
-    checkpoint() it keeps column pruning for the readers. The folder goes when the session ends.
+    checkpoint() it keeps column pruning for the readers. The folder goes when the session ends, or when passed_on() has what was made from it.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def passed_on(make: Callable[[], DataFrame], tag: str, read: str | None = None) -> tuple[DataFrame, str]:
+    """What make() gives, written out, and its path. Tables that it wrote on the way, and the one at `read` that it was made from, are deleted then."""
+    before = len(_WRITTEN)
+    df = materialize(make(), tag)
+    spark, path = df.sparkSession, _WRITTEN.pop()
+    for gone in [*_WRITTEN[before:], *([read] if read else [])]:
+        delete(spark, gone)
+    del _WRITTEN[before:]
+    return df, path
 
 
 def slices(sizes, most_bytes: int):

@@ -52,9 +52,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     points that at least min_docs documents hold loses its lines everywhere but in the smallest
     id holding it, which keeps all of them. Rows with a null id count as one document with
     the largest id. Rows that repeat an id count as one document; each row keeps its own lines.
-    All other columns pass through, whatever their names.
+    All other columns pass through, whatever their names; if one is named like a new column, the new one gets underscores in front.
     """
-    row, pos = fresh(docs, "row_key"), fresh(docs, "drop_pos")
+    n_lines, n_dropped = fresh(docs, n_lines), fresh(docs, n_dropped)
+    pos, row, own, at, of = (fresh(docs, f"line_{c}") for c in ("dropped", "row", "own", "row_of", "id_of"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID))
     # tells rows of one id apart
@@ -66,9 +67,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         shared = lines.groupBy("h", "id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.min("id").alias("first"), F.count("one").alias("n")).where(F.col("n") >= min_docs)
     shared = materialize(shared.select(F.col("h").alias("sh"), "first"), "repeated-lines")
     gone = lines.join(shared, (F.col("h") == F.col("sh")) & (F.col("id") != F.col("first")))
-    gone = gone.groupBy("row", "id").agg(F.collect_set("pos").alias(pos)).select(F.col("row").alias(row), F.col("id").alias(f"{row}_id"), pos)
-    left = docs.select("*", key.alias(f"{row}_"), own_id.alias(f"{row}_own"))
-    joined = left.join(gone, (left[f"{row}_"] == gone[row]) & (left[f"{row}_own"] == gone[f"{row}_id"]), "left").drop(row, f"{row}_", f"{row}_id", f"{row}_own")
+    gone = gone.groupBy("row", "id").agg(F.collect_set("pos").alias(pos)).select(F.col("row").alias(at), F.col("id").alias(of), pos)
+    left = docs.select("*", key.alias(row), own_id.alias(own))
+    joined = left.join(gone, (F.col(row) == F.col(at)) & (F.col(own) == F.col(of)), "left").drop(row, own, at, of)
     parts = F.split(text, "\n", -1)
     n = F.size(parts)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col(pos)), lambda i: F.get(parts, i))

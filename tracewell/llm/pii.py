@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds in the order that breaks ties; the first four are the base.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "tel")
 BASE = KINDS[:4]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -24,10 +24,11 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
+_TEL = re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z-])")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: Scores: of a pattern's match, what a passed checksum adds, what a context word adds, and what it takes to count.
-SCORE = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.5, "iban": 0.5, "ssn": 0.4}
+#: Scores: of a pattern's match, what a passed checksum adds, what a context word adds or one that speaks against takes away, and what it takes to count.
+SCORE = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.5, "iban": 0.3, "ssn": 0.4, "tel": 0.4}
 CHECKSUM, CONTEXT, ACCEPT, NEAR = 0.4, 0.3, 0.6, 48
 #: Words that speak for a kind when they stand near a span.
 WORDS = {
@@ -38,7 +39,20 @@ WORDS = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security", "taxpayer"),
 }
-_NEARBY = {k: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, w)) + r")(?!\w)", re.I) for k, w in WORDS.items()}
+WORDS["tel"] = WORDS["phone"]
+#: Words that speak against one when they stand before it.
+AGAINST = {
+    "iban": ("serial", "tracking", "sku", "isbn", "part"),
+    "ssn": ("serial", "tracking", "sku", "isbn", "part", "order", "ticket"),
+    "tel": ("serial", "tracking", "sku", "isbn", "part", "order", "ticket", "invoice"),
+}
+
+
+def _any_word(words: tuple[str, ...]) -> re.Pattern:
+    return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, words)) + r")(?!\w)", re.I)
+
+
+_NEARBY, _AGAINST = ({k: _any_word(w) for k, w in words.items()} for words in (WORDS, AGAINST))
 
 
 def luhn(digits: str) -> bool:
@@ -110,6 +124,18 @@ def _ssns(text: str):
             yield m.span()
 
 
+def _tels(text: str, taken: list[tuple[int, int]]):
+    """National numbers of 9 to 11 digits that are part of no other span."""
+    taken = sorted(taken)
+    k = 0
+    for m in _TEL.finditer(text):
+        if 9 <= sum(map(str.isdigit, m[0])) <= 11:
+            while k < len(taken) and taken[k][1] <= m.start():
+                k += 1
+            if all(a >= m.end() for a, _ in taken[k : k + 1]):
+                yield m.span()
+
+
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) in code points, by start and then kind.
 
@@ -118,11 +144,13 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     found = [("email", *s) for s in _emails(text)]
     found += [("ip", *s) for s in _ips(text)] + [("card", *s) for s in _cards(text)] + [("phone", *s) for s in _phones(text)]
     found += [("iban", *s) for s in _ibans(text)] + [("ssn", *s) for s in _ssns(text)]
+    found += [("tel", *s) for s in _tels(text, [s[1:] for s in found])]
     out = []
     for kind, start, stop in found:
         score = SCORE[kind] + CHECKSUM * (kind in ("card", "iban"))
-        if _NEARBY[kind].search(text[max(0, start - NEAR) : start]) or _NEARBY[kind].search(text[stop : stop + NEAR]):
-            score += CONTEXT
+        around = text[max(0, start - NEAR) : start], text[stop : stop + NEAR]
+        score += CONTEXT * any(map(_NEARBY[kind].search, around))
+        score -= CONTEXT * (kind in _AGAINST and _AGAINST[kind].search(around[0]) is not None)
         if kind in BASE or score >= ACCEPT:
             out.append((kind, start, stop, round(min(1.0, score), 2)))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
