@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import fresh, table
+from tracewell.llm.common import fresh, passed_on, table
 from tracewell.llm.line_dedup import dedup_lines
 from tracewell.llm.minhash import drop_near
 from tracewell.llm.mixing import in_mix_order
@@ -47,7 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages one after another. Each stage's rows are written before the next one reads them, so each runs once, and deleted when that one has read them."""
+    docs, path = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs, path = passed_on(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"), path)
+    return STAGES[-1][1](spark, docs, sf_dir)
