@@ -1,14 +1,15 @@
 """Toxicity: averaged subword embeddings under a linear softmax.
 
-A word is the mean of the vectors of its byte n-grams (3 to 5, with its edges) and of itself, a
+A word is the mean of the vectors of its character n-grams (3 to 5 code points, with its edges) and of itself, a
 document the mean of its distinct words (so one word said fifty times is one), and two softmax weights sit on top; vectors and weights are trained jointly
 in numpy with Adam. n-grams are hashed into a fixed table, so an unseen misspelling or word form shares
 the vectors of the n-grams it keeps. As all is linear up to the softmax, scoring needs one number per
-n-gram bucket: the model that goes to the executors is a table of 2^17 floats whatever it was trained on.
+n-gram bucket: the model that goes to the executors is a table of 2^BITS floats whatever it was trained on.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,41 +20,49 @@ from tracewell.llm.common import fresh, slices
 from tracewell.llm.labels import MAX_CHARS, PER_LABEL, held_out, training_rows
 from tracewell.llm.words import mix, prefix_sums
 
-BITS, DIM, STEPS, BATCH, RATE = 18, 4, 380, 128, 0.02
+BITS, DIM, STEPS, BATCH = 18, 4, 380, 128
+#: Learning rates of the vectors (momentum: what many documents share moves furthest) and of the softmax (Adam).
+VECTOR_RATE, RATE = 0.5, 0.02
 #: What a document's mean is multiplied by: the few telling words among hundreds must move the softmax in a few steps.
 SCALE = 300.0
 #: Words of no meaning that every mean holds besides a document's own, so that a few words decide nothing by chance.
-NEUTRAL = 20
+NEUTRAL = 60
 #: Documents of the training rows that an n-gram must stand in to count.
 MIN_DOCS = 5
-#: Adam's floor: n-grams of small, rare gradients stay near zero.
-FLOOR = 3e-3
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.5
 
 _RNG = np.random.Generator(np.random.PCG64(77))
-_VALUE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
-#: Bytes that make words: letters, digits and all of UTF-8 beyond ASCII. Upper case counts as lower.
-_INSIDE = np.zeros(256, bool)
-_INSIDE[128:] = True
-for _c in b"abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ":
-    _INSIDE[_c] = True
-for _c in range(256):
-    if not _INSIDE[_c]:
-        _VALUE[_c] = _VALUE[32]
-for _c in range(ord("A"), ord("Z") + 1):
-    _VALUE[_c] = _VALUE[_c + 32]
-_MANY = 1 << 20
-
-
-def _bags(raw: bytes, bounds: np.ndarray, seen: np.ndarray | None = None):
-    """Distinct words of each text in raw (which begins and ends with a space): starts, an iterator over (word of each n-gram, its bucket), and hashes.
-
-    seen: sorted hashes of the words that came in earlier parts of the one text in raw; they count no more.
+#: Characters that make words: letters, digits and marks, and all beyond the basic plane.
+_INSIDE = np.array([c.isalnum() or unicodedata.category(c)[0] == "M" for c in map(chr, range(1 << 16))] + [True])
+#: A number for each of those; the others all count as the edge of a word.
+_VALUE = np.where(_INSIDE, _RNG.integers(0, 2**64, len(_INSIDE), dtype=np.uint64), _RNG.integers(0, 2**64, 1, dtype=np.uint64))
+_MANY = 1 << 19
+
+
+def _points(text: str | None) -> np.ndarray:
+    """The code points of a text in lower case."""
+    return np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The texts with a space before, between and after them."""
+    space = np.array([32], np.uint32)
+    return np.concatenate([space, *(x for p in parts for x in (p, space))])
+
+
+def _bags(points: np.ndarray, bounds: np.ndarray, seen: np.ndarray | None = None):
+    """Distinct words of each text in points (which begins and ends with a space): starts, an iterator over (word of each n-gram, its bucket), and hashes.
+
+    seen: sorted hashes of the words that came in earlier parts of the one text in points; they count no more.
     """
-    data = np.frombuffer(raw, np.uint8)
+    data = np.minimum(points, np.uint32(1 << 16))
     inside = _INSIDE[data]
-    total, down = prefix_sums(_VALUE[data])
+    value = _VALUE[data]
+    if len(data) and data.max() == 1 << 16:
+        far = points >= 1 << 16
+        value[far] = mix(points[far].astype(np.uint64))
+    total, down = prefix_sums(value)
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -78,7 +87,7 @@ def _bags(raw: bytes, bounds: np.ndarray, seen: np.ndarray | None = None):
     def grams():
         ok = inside
         for n in GRAMS:
-            # windows whose inner bytes all lie in one word; the outer two may be its edges
+            # windows whose inner characters all lie in one word; the outer two may be its edges
             ok = inside[1 : len(data) - n + 2].copy() if n == GRAMS[0] else ok[: len(data) - n + 1] & inside[n - 2 : len(data) - 1]
             at = np.flatnonzero(ok[: max(0, len(data) - n + 1)])
             yield word[at + 1], (mix((total[at + n] - total[at]) * down[at] + np.uint64(n)) >> shift).astype(np.int64)
@@ -87,14 +96,14 @@ def _bags(raw: bytes, bounds: np.ndarray, seen: np.ndarray | None = None):
     return starts, grams(), whole
 
 
-def _pieces(raw: bytes):
-    """raw cut at spaces into parts of about _MANY bytes, for texts of any length."""
+def _pieces(points: np.ndarray):
+    """points cut between words into parts of about _MANY, for texts of any length."""
     at = 0
-    while at < len(raw):
-        stop = min(at + _MANY, len(raw))
-        while stop < len(raw) and _INSIDE[raw[stop]]:
+    while at < len(points):
+        stop = min(at + _MANY, len(points))
+        while stop < len(points) and _INSIDE[min(points[stop], 1 << 16)]:
             stop += 1
-        yield raw[at:stop]
+        yield points[at:stop]
         at = stop
 
 
@@ -105,9 +114,9 @@ class Model:
     values: np.ndarray
     bias: float
 
-    def _sums(self, raw: bytes, bounds: np.ndarray, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _sums(self, points: np.ndarray, bounds: np.ndarray, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sum of word scores and number of words between bounds, and the words' hashes."""
-        starts, grams, words = _bags(raw, bounds, seen)
+        starts, grams, words = _bags(points, bounds, seen)
         total, count = np.zeros(len(starts)), np.zeros(len(starts))
         for word, bucket in grams:
             total += np.bincount(word, self.values[bucket], len(starts))
@@ -118,27 +127,27 @@ class Model:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Probability of toxicity of each text; one without words gets what the bias says."""
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        logits = np.full(len(raw), self.bias)
-        for i, j in slices(list(map(len, raw)), _MANY):
+        logits = np.full(len(texts), self.bias)
+        for i, j in slices([len(t or "") for t in texts], _MANY):
+            points = [_points(t) for t in texts[i:j]]
             if j == i + 1:
                 total, count, seen = 0.0, 0, np.zeros(0, np.uint64)
-                for p in _pieces(raw[i]):
-                    s, n, words = self._sums(b" " + p + b" ", np.array([0, len(p) + 2]), seen)
+                for p in _pieces(points[0]):
+                    s, n, words = self._sums(_joined([p]), np.array([0, len(p) + 2]), seen)
                     total, count = total + s[0], count + n[0]
-                    if len(p) < len(raw[i]):
+                    if len(p) < len(points[0]):
                         seen = np.union1d(seen, words)
                 logits[i] += total / (count + NEUTRAL)
             else:
-                s, n, _ = self._sums(b" " + b" ".join(raw[i:j]) + b" ", np.cumsum([0, *(len(r) + 1 for r in raw[i:j])]))
+                s, n, _ = self._sums(_joined(points), np.cumsum([0, *(len(p) + 1 for p in points)]))
                 logits[i:j] += s / (n + NEUTRAL)
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
 
 def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, weights) of a document; with the neutral words' the weights add up to one."""
-    raw = b" " + text.encode("utf-8", "surrogatepass") + b" "
-    starts, grams, _ = _bags(raw, np.array([0, len(raw)]))
+    points = _joined([_points(text)])
+    starts, grams, _ = _bags(points, np.array([0, len(points)]))
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0)
     found = list(grams)
@@ -150,24 +159,23 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _all_bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bags of all texts end to end, and where each begins; n-grams of fewer than MIN_DOCS texts, which can only be learnt by heart, are left out."""
-    parts: list[tuple] = []
-    sizes, some = [], []
-    for k, t in enumerate(texts, 1):
-        bucket, weight = _bag(t)
-        some.append((bucket.astype(np.int32), weight.astype(np.float32)))
-        sizes.append(len(bucket))
-        if k % 256 == 0 or k == len(texts):  # few large arrays instead of many small ones: the driver gets their memory back
-            parts.append(tuple(map(np.concatenate, zip(*some, strict=True))))
-            some = []
-    buckets, weights = map(np.concatenate, zip(*parts, strict=True))
-    del parts
-    kept = (np.bincount(buckets, minlength=1 << BITS) >= MIN_DOCS)[buckets]
-    doc = np.repeat(np.arange(len(texts)), sizes)[kept]
-    return buckets[kept], weights[kept], np.searchsorted(doc, np.arange(len(texts) + 1))
+    parts: list[list[np.ndarray]] = []  # of 256 documents each: buckets, weights, where each document begins
+    seen = np.zeros(1 << BITS, np.int64)
+    for at in range(0, len(texts), 256):
+        bags = [_bag(t) for t in texts[at : at + 256]]
+        parts.append([np.concatenate([b for b, _ in bags]).astype(np.int32), np.concatenate([w for _, w in bags]).astype(np.float32), np.cumsum([0, *(len(b) for b, _ in bags)])])
+        seen += np.bincount(parts[-1][0], minlength=1 << BITS)
+    begin = [np.zeros(1, np.int64)]
+    for part in parts:  # one after another, so that the arrays of a part go when it is thinned out
+        kept = seen[part[0]] >= MIN_DOCS
+        ends = np.concatenate([[0], np.cumsum(kept)])[part[2][1:]]
+        part[:] = part[0][kept], part[1][kept], ends
+        begin.append(ends + begin[-1][-1])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate(begin)
 
 
 def train(rows: list[tuple[str, int]], dim: int = DIM, least_steps: int = STEPS, seed: int = 5) -> Model:
-    """Vectors and softmax weights together, by Adam on the log loss, in which both labels weigh the same in all.
+    """Vectors (by momentum) and softmax weights (by Adam) together, on the log loss, in which both labels weigh the same in all.
 
     Without both labels there is nothing to tell apart: every score is then the one label's, or 0.
     """
@@ -182,7 +190,8 @@ def train(rows: list[tuple[str, int]], dim: int = DIM, least_steps: int = STEPS,
     head[1] = rng.uniform(-1, 1, dim)
     head[0] = -head[1]
     bias = np.zeros(2, np.float32)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, head, bias)]
+    speed = np.zeros_like(vectors)
+    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (head, bias)]
     epochs = -(-least_steps // -(-len(rows) // BATCH))
     step, steps = 0, epochs * -(-len(rows) // BATCH)
     for _ in range(epochs):
@@ -201,16 +210,14 @@ def train(rows: list[tuple[str, int]], dim: int = DIM, least_steps: int = STEPS,
             hidden = both @ head
             flow = np.stack([np.bincount(place, weights * hidden[doc, d], len(used)) for d in range(dim)], 1).astype(np.float32)
             step += 1
-            rate = RATE * (1 - 0.9 * step / steps)
+            rate = 1 - 0.9 * step / steps
             fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            m, v = state[0]
-            m[used] = 0.9 * m[used] + 0.1 * flow
-            v[used] = 0.999 * v[used] + 0.001 * flow**2
-            vectors[used] -= rate * fix * m[used] / (np.sqrt(v[used]) + FLOOR)
-            for param, grad, (m, v) in zip((head, bias), (both.T @ mean, both.sum(0)), state[1:], strict=True):
+            speed[used] = 0.9 * speed[used] + 0.1 * flow
+            vectors[used] -= np.float32(VECTOR_RATE * rate * fix) * speed[used]
+            for param, grad, (m, v) in zip((head, bias), (both.T @ mean, both.sum(0)), state, strict=True):
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad**2 - v)
-                param -= rate * fix * m / (np.sqrt(v) + 1e-10)
+                param -= RATE * rate * fix * m / (np.sqrt(v) + 1e-10)
     return Model((vectors @ (head[1] - head[0]) * SCALE).astype(np.float32), float(bias[1] - bias[0]))
 
 
