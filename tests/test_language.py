@@ -11,7 +11,7 @@ from tracewell.plans.compiler import flag, matching
 from tracewell.plans.evaluator import matches
 from tracewell.plans.parser import ParseError, parse
 from tracewell.plans.view import View, resolve
-from tracewell.sources.native import envelope
+from tracewell.sources.columns import as_row
 from tracewell.sources import schema
 
 
@@ -126,7 +126,7 @@ def frame(spark, events):
     rows = []
     for e in events:
         e = dict(e)
-        row = envelope(e.pop("attributes"), e.pop("resource"), **e)
+        row = as_row(e.pop("attributes"), e.pop("resource"), **e)
         rows.append(row)
     return spark.createDataFrame(rows, StructType.fromDDL("id long, " + schema.columns("logs")))
 

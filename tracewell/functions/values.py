@@ -58,17 +58,23 @@ def format_float(f: float) -> str:
     return f"{f:.1f}" if math.isfinite(f) and f.is_integer() and abs(f) < 1e15 else plain_float(f)
 
 
-def to_json(value: Any) -> str:
-    """Compact JSON; floats that aren't finite are null."""
+_ENCODE = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), allow_nan=False).encode
 
-    def safe(v):
-        if isinstance(v, float) and not math.isfinite(v):
-            return None
-        if isinstance(v, dict):
-            return {k: safe(x) for k, x in v.items()}
-        return [safe(x) for x in v] if isinstance(v, list) else v
 
-    return json.dumps(safe(value), ensure_ascii=False, separators=(",", ":"))
+def _finite(v: Any) -> Any:
+    if isinstance(v, float) and not math.isfinite(v):
+        return None
+    if isinstance(v, dict):
+        return {k: _finite(x) for k, x in v.items()}
+    return [_finite(x) for x in v] if isinstance(v, list) else v
+
+
+def to_json(value: Any) -> str:
+    """Compact JSON; floats that aren't finite are null."""
+    try:
+        return _ENCODE(value)
+    except ValueError:
+        return _ENCODE(_finite(value))
 
 
 def display(value: Any) -> str:
@@ -146,22 +152,40 @@ def _scalars(value: Any):
         yield value
 
 
+#: The views of a scalar that comparisons read: kind, the string, canonical as an integer or a float, number, boolean, text.
+LEAF = ("t", "s", "ci", "cf", "num", "b", "txt")
+
+
+def leaf(x: Any) -> tuple:
+    """The values of LEAF for one scalar."""
+    if isinstance(x, bool):
+        return "bool", None, None, None, None, x, "true" if x else "false"
+    if isinstance(x, int):
+        c = canonical(x)
+        return "int", None, c if isinstance(c, int) else None, c if isinstance(c, float) else None, float(x), None, str(x)
+    if isinstance(x, float):
+        c = canonical(x)
+        return "float", None, c if isinstance(c, int) else None, c if isinstance(c, float) else None, x if math.isfinite(x) else None, None, format_float(x)
+    # most strings are plain words
+    c = canonical(x) if x and (x[0] in _NUMERIC_START or x[0].isspace()) else None
+    return "string", x, c if isinstance(c, int) else None, c if isinstance(c, float) else None, None if c is None else parse_number(x), bool_from_str(x), x
+
+
+_NUMERIC_START = frozenset("0123456789+-.")
+
+
+def flat_rows(fields: dict[str, Any]):
+    """(path, kind, text, leaves) of every path of a property bag, leaves as tuples."""
+    for path, v in paths(fields).items():
+        if isinstance(v, (dict, list)):
+            yield path, kind(v), to_json(v), [leaf(x) for x in _scalars(v)]
+        elif v is None:
+            yield path, "null", "null", []
+        else:
+            one = leaf(v)
+            yield path, one[0], one[-1], [one]
+
+
 def flatten(fields: dict[str, Any]) -> dict[str, dict]:
     """The map column of a property bag: path -> kind, text and comparable leaves."""
-    out = {}
-    for path, v in paths(fields).items():
-        rows = []
-        for x in _scalars(v):
-            c = canonical(x)
-            f = float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else parse_number(x) if isinstance(x, str) else None
-            rows.append({
-                "t": kind(x),
-                "s": x if isinstance(x, str) else None,
-                "ci": c if isinstance(c, int) else None,
-                "cf": c if isinstance(c, float) else None,
-                "num": f if f is not None and math.isfinite(f) else None,
-                "b": x if isinstance(x, bool) else bool_from_str(x) if isinstance(x, str) else None,
-                "txt": display(x),
-            })
-        out[path] = {"kind": kind(v), "txt": display(v), "leaves": rows}
-    return out
+    return {path: {"kind": k, "txt": txt, "leaves": [dict(zip(LEAF, x, strict=True)) for x in rows]} for path, k, txt, rows in flat_rows(fields)}

@@ -33,9 +33,15 @@ def level_from_severity(n: int) -> int | None:
     return (n + 3) // 4 if 1 <= n <= 24 else None
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at its ends, as str.strip() has it; F.trim takes spaces only."""
+    blank = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+"
+    return F.regexp_replace(text, f"^{blank}|{blank}$", "")
+
+
 def level_code_col(text: Column) -> Column:
     pairs = [F.lit(x) for kv in _CODES.items() for x in kv]
-    return F.element_at(F.create_map(*pairs), F.lower(F.trim(text))).cast("tinyint")
+    return F.element_at(F.create_map(*pairs), F.lower(stripped(text))).cast("tinyint")
 
 
 def level_name_col(code: Column) -> Column:
@@ -51,7 +57,7 @@ def normalise_id(text: str | None) -> str | None:
 
 
 def normalise_id_col(text: Column) -> Column:
-    t = F.trim(text)
+    t = stripped(text)
     return F.when(t.rlike("[^0]"), F.when(t.rlike("^[0-9A-Fa-f]+$"), F.lower(t)).otherwise(t))
 
 

@@ -12,15 +12,17 @@ import re
 import struct
 import time
 from dataclasses import dataclass, field
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame
 
 from tracewell.functions.values import display, normalise, to_json
 from tracewell.functions.vocab import level_code, level_from_severity, normalise_id
-from tracewell.sources.native import INFORMATION, IngestError, Limits, TooDeep, envelope, frame_of
+from tracewell.sources.columns import as_row
+from tracewell.sources.native import INFORMATION, IngestError, Limits, TooDeep, frame_of
 
-#: The public messages: name -> {field number: (name, kind)}. A kind in brackets repeats.
+#: The public messages, name -> {field number: (name, kind)}. A kind in brackets repeats.
 MESSAGES: dict[str, dict[int, tuple[str, str]]] = {
     "logs": {1: ("resource_logs", "[ResourceLogs]")},
     "ResourceLogs": {1: ("resource", "Resource"), 2: ("scope_logs", "[ScopeLogs]")},
@@ -107,6 +109,10 @@ def _id_bytes(v: Any) -> bytes:
         raise malformed(f"invalid id {v!r}") from None
 
 
+#: Of each message, the names of its fields in both spellings.
+_NAMES = {kind: {spelling: (name, inner) for name, inner in fields.values() for spelling in (_camel(name), name)} for kind, fields in MESSAGES.items()}
+
+
 def from_json(kind: str, v: Any) -> Any:
     if kind.startswith("["):
         if not isinstance(v, list):
@@ -116,10 +122,12 @@ def from_json(kind: str, v: Any) -> Any:
         if not isinstance(v, dict):
             raise malformed("expected an object")
         out = {}
-        for name, inner in MESSAGES[kind].values():
-            x = v.get(_camel(name), v.get(name))
-            if x is not None:
-                out[name] = from_json(inner, x)
+        names = _NAMES[kind]
+        for key, x in v.items():
+            if x is not None and key in names:
+                name, inner = names[key]
+                if key != name or name not in out:  # the camel-case name goes before the other
+                    out[name] = from_json(inner, x)
         return out
     if kind == "string":
         if not isinstance(v, str):
@@ -256,9 +264,9 @@ def _pick(words: tuple, n: int | None) -> str:
 
 @dataclass
 class Decoded:
-    """The rows of a request; rejected records are counted, with the reason of the first."""
+    """The events of a request; rejected records are counted, with the reason of the first."""
 
-    rows: list[dict] = field(default_factory=list)
+    events: list[dict] = field(default_factory=list)
     rejected: int = 0
     reason: str | None = None
 
@@ -266,114 +274,172 @@ class Decoded:
         self.rejected += 1
         self.reason = self.reason or why
 
+    @property
+    def rows(self) -> list[dict]:
+        return [as_row(**e) for e in self.events]
 
-class _Mapper:
-    def __init__(self, now: int, limits: Limits):
-        self.now, self.limits, self.out = now, limits, Decoded()
 
-    def resource(self, r: dict | None) -> tuple[dict, dict]:
-        """(attributes, service and environment)."""
-        attrs = bag((r or {}).get("attributes", []), self.limits)
+@dataclass
+class Sent:
+    """A record as it was sent, and what it is mapped with: its attributes, those of its resource, limits and the time of arrival."""
 
-        def named(*keys):
-            return next((v for k in keys if isinstance(v := attrs.get(k), str) and v), None)
+    record: dict
+    attributes: dict
+    resource: dict
+    limits: Limits
+    now: int
+    lifted: dict = field(default_factory=dict)
 
-        return attrs, {"service": named("service.name"), "environment": named("deployment.environment.name", "deployment.environment")}
+    def lift(self, keys: dict[str, str]) -> None:
+        """Takes attributes out, as texts, under the names that keys give them; of two keys of a name the first sent in keys' order is taken."""
+        for key, name in keys.items():
+            if self.lifted.get(name) is None:
+                v = self.attributes.pop(key, None)
+                self.lifted[name] = v if v is None or isinstance(v, str) else display(v)
+
+    def of_resource(self, *keys: str) -> str | None:
+        return next((v for k in keys if isinstance(v := self.resource.get(k), str) and v), None)
+
+    def text(self, name: str) -> str | None:
+        return self.record.get(name) or None
+
+    def time(self, *names: str) -> int:
+        return next((ns for n in names if (ns := _ns(self.record.get(n)))), self.now)
+
+    def bag_of(self, pairs: list[dict]) -> dict:
+        return bag(pairs, self.limits)
+
+
+#: Attributes of log records that are columns.
+LIFTED = {"exception.type": "type", "exception.message": "message", "exception.stacktrace": "stack_trace", "{OriginalFormat}": "template", "message_template.text": "template"}
+EXCEPTION_PARTS = ("type", "message", "stack_trace")
+#: The forms of metric data, and the kinds they are kept as.
+FORMS = {"gauge": "gauge", "sum": "sum", "histogram": "histogram", "exponential_histogram": "histogram", "summary": "histogram"}
+
+
+def _log_level(s: Sent) -> int:
+    """By number, else by text, else Information; a text that says something else is kept."""
+    text = s.record.get("severity_text", "")
+    named = level_code(text)
+    level = level_from_severity(s.record.get("severity_number", 0)) or named or INFORMATION
+    if text and named != level:
+        s.attributes["severityText"] = text
+    return level
+
+
+def _log_message(s: Sent) -> str:
+    """The body as text; of an object its message, and the object is kept. Without a body what the exception says."""
+    body = any_value(s.record.get("body"), s.limits)
+    if isinstance(body, dict):
+        s.attributes["body"] = body
+        return display(body["message"]) if "message" in body else to_json(body)
+    return s.lifted["message"] or "" if body is None else display(body)
+
+
+def _exception(s: Sent) -> dict | None:
+    parts = {k: s.lifted[k] for k in EXCEPTION_PARTS}
+    return parts if any(v is not None for v in parts.values()) else None
+
+
+def _span_ns(s: Sent) -> int:
+    return max(0, s.record.get("end_time_unix_nano", 0) - s.record.get("start_time_unix_nano", 0))
 
-    def attributes(self, record: dict, scope: dict | None) -> dict:
-        out = bag(record.get("attributes", []), self.limits)
-        if (name := (scope or {}).get("name")) and out.get("otel.scope.name", self) is self:
-            out["otel.scope.name"] = name
-        return out
 
-    def each(self, request: dict, outer: str, middle: str, inner: str):
-        """Records with their resource and scope."""
-        n = sum(len(s.get(inner, [])) for r in request.get(outer, []) for s in r.get(middle, []))
-        if inner != "metrics":
-            self.limits.events(n)
-        for r in request.get(outer, []):
-            res = self.resource(r.get("resource"))
-            for s in r.get(middle, []):
-                for x in s.get(inner, []):
-                    yield x, s.get("scope"), *res
-
-    def logs(self, request: dict) -> None:
-        for x, scope, resource, named in self.each(request, "resource_logs", "scope_logs", "log_records"):
-            attrs = self.attributes(x, scope)
+def _span_events(s: Sent) -> list[dict]:
+    start = s.time("start_time_unix_nano")
+    return [{"ts_ns": _ns(e.get("time_unix_nano")) or start, "name": e.get("name", ""), "attributes": to_json(s.bag_of(e.get("attributes", [])))} for e in s.record.get("events", [])]
+
+
+def _span_links(s: Sent) -> list[dict]:
+    """Links that name a span."""
+    ids = ((_id(x.get("trace_id")), _id(x.get("span_id")), x) for x in s.record.get("links", []))
+    return [{"trace_id": t, "span_id": n, "attributes": to_json(s.bag_of(x.get("attributes", [])))} for t, n, x in ids if t and n]
+
+
+def _status(s: Sent) -> dict:
+    sent = s.record.get("status", {})
+    return {"code": _pick(STATUS_CODES, sent.get("code")), "message": sent.get("message") or None}
+
+
+def _number(s: Sent) -> float | None:
+    p = s.record
+    if p["form"] not in ("gauge", "sum"):
+        return None
+    return p["as_double"] if "as_double" in p else float(p["as_int"]) if "as_int" in p else math.nan
+
+
+def _histogram(s: Sent) -> dict | None:
+    """What a distribution sums up to; the sums of summaries that send none are 0."""
+    p = s.record
+    if p["form"] in ("gauge", "sum"):
+        return None
+    none = 0.0 if p["form"] == "summary" else None
+    return {"count": Decimal(p.get("count", 0)), "sum": p.get("sum", none), "min": p.get("min"), "max": p.get("max"), "bucket_counts": [Decimal(n) for n in p.get("bucket_counts", [])], "bounds": p.get("explicit_bounds", [])}
+
+
+#: Of each signal's columns, what it is worked out with, in this order.
+COMMON = {"service": lambda s: s.of_resource("service.name"), "environment": lambda s: s.of_resource("deployment.environment.name", "deployment.environment"), "trace_id": lambda s: _id(s.record.get("trace_id")), "span_id": lambda s: _id(s.record.get("span_id"))}
+DERIVED = {
+    "logs": {
+        "ts_ns": lambda s: s.time("time_unix_nano", "observed_time_unix_nano"), "observed_ns": lambda s: s.time("observed_time_unix_nano"), "level": _log_level,
+        "message_template": lambda s: s.lifted["template"], "message": _log_message, "exception": _exception,
+    },
+    "traces": {
+        "ts_ns": lambda s: s.time("start_time_unix_nano"), "observed_ns": lambda s: s.now, "message": lambda s: s.record.get("name", ""), "parent_span_id": lambda s: _id(s.record.get("parent_span_id")),
+        "span_kind": lambda s: _pick(SPAN_KINDS, s.record.get("kind")), "duration_ns": lambda s: min(_span_ns(s), 2**63 - 1), "duration_ms": lambda s: _span_ns(s) / 1e6,
+        "status": _status, "events": _span_events, "links": _span_links,
+    },
+    "metrics": {
+        "ts_ns": lambda s: s.time("time_unix_nano"), "observed_ns": lambda s: s.now, "message": lambda s: s.record.get("metric", {}).get("name", ""), "description": lambda s: s.record["metric"].get("description") or None,
+        "unit": lambda s: s.record["metric"].get("unit") or None, "metric_kind": lambda s: FORMS[s.record["form"]], "temporality": lambda s: s.record["temporality"], "monotonic": lambda s: s.record["monotonic"],
+        "value": _number, "hist": _histogram,
+    },
+}
+#: Of each signal, the names of the lists that hold resources, scopes and records.
+LISTS = {"logs": ("resource_logs", "scope_logs", "log_records"), "traces": ("resource_spans", "scope_spans", "spans"), "metrics": ("resource_metrics", "scope_metrics", "metrics")}
+
+
+def _points(metrics: list[tuple], out: Decoded) -> list[tuple]:
+    """The data points of metrics, each with its metric and what that says of its points."""
+    points = []
+    for metric, scope, resource in metrics:
+        form = next((f for f in FORMS if f in metric), None)
+        if form is None:
+            out.reject("metric without data")
+            continue
+        data = metric[form]
+        temporality = {"summary": "cumulative", "gauge": "unspecified"}.get(form) or _pick(TEMPORALITIES, data.get("aggregation_temporality")).lower()
+        said = {"metric": metric, "form": form, "temporality": temporality, "monotonic": form == "sum" and data.get("is_monotonic", False)}
+        points += [({**p, **said}, scope, resource) for p in data.get("data_points", [])]
+    return points
+
+
+def map_request(signal: str, request: dict, now: int, limits: Limits) -> Decoded:
+    """The records of a decoded request as events."""
+    outer, middle, inner = LISTS[signal]
+    out, records = Decoded(), []
+    for r in request.get(outer, []):
+        resource = bag((r.get("resource") or {}).get("attributes", []), limits)
+        records += [(x, s.get("scope") or {}, resource) for s in r.get(middle, []) for x in s.get(inner, [])]
+    if signal == "metrics":
+        limits.events(sum(len(m[f].get("data_points", [])) for m, *_ in records for f in FORMS if f in m))
+        records = _points(records, out)
+    else:
+        limits.events(len(records))
+    for x, scope, resource in records:
+        sent = Sent(x, bag(x.get("attributes", []), limits), resource, limits, now)
+        if scope.get("name"):
+            sent.attributes.setdefault("otel.scope.name", scope["name"])
+        if signal == "logs":
             if x.get("event_name"):
-                attrs["event.name"] = x["event_name"]
-            text = x.get("severity_text", "")
-            level = level_from_severity(x.get("severity_number", 0)) or level_code(text) or INFORMATION
-            if text and level_code(text) != level:
-                attrs["severityText"] = text
-
-            def pop(key, attrs=attrs):
-                v = attrs.pop(key, None)
-                return v if v is None or isinstance(v, str) else display(v)
-
-            exception = {k: pop(f"exception.{a}") for k, a in (("type", "type"), ("message", "message"), ("stack_trace", "stacktrace"))}
-            template = pop("{OriginalFormat}")
-            template = pop("message_template.text") if template is None else template
-            body = any_value(x.get("body"), self.limits)
-            if body is None:
-                message = exception["message"] or ""
-            elif isinstance(body, dict):
-                message = display(body["message"]) if "message" in body else to_json(body)
-                attrs["body"] = body
-            else:
-                message = display(body)
-            seen = _ns(x.get("observed_time_unix_nano"))
-            self.out.rows.append(envelope(
-                attrs, resource, **named, ts_ns=_ns(x.get("time_unix_nano")) or seen or self.now, observed_ns=seen or self.now, trace_id=_id(x.get("trace_id")), span_id=_id(x.get("span_id")),
-                message=message, level=level, message_template=template, exception=exception if any(v is not None for v in exception.values()) else None,
-            ))
-
-    def traces(self, request: dict) -> None:
-        for x, scope, resource, named in self.each(request, "resource_spans", "scope_spans", "spans"):
-            trace_id, span_id = _id(x.get("trace_id")), _id(x.get("span_id"))
-            if trace_id is None or span_id is None:
-                self.out.reject("span without trace id or span id")
-                continue
-            start = _ns(x.get("start_time_unix_nano")) or self.now
-            ns = max(0, x.get("end_time_unix_nano", 0) - x.get("start_time_unix_nano", 0))
-            status = x.get("status", {})
-            events = [{"ts_ns": _ns(e.get("time_unix_nano")) or start, "name": e.get("name", ""), "attributes": to_json(bag(e.get("attributes", []), self.limits))} for e in x.get("events", [])]
-            links = [{"trace_id": t, "span_id": s, "attributes": to_json(bag(k.get("attributes", []), self.limits))} for k in x.get("links", []) if (t := _id(k.get("trace_id"))) and (s := _id(k.get("span_id")))]
-            self.out.rows.append(envelope(
-                self.attributes(x, scope), resource, **named, ts_ns=start, observed_ns=self.now, trace_id=trace_id, span_id=span_id, message=x.get("name", ""),
-                parent_span_id=_id(x.get("parent_span_id")), span_kind=_pick(SPAN_KINDS, x.get("kind")), duration_ns=min(ns, 2**63 - 1), duration_ms=ns / 1e6,
-                status={"code": _pick(STATUS_CODES, status.get("code")), "message": status.get("message") or None}, events=events, links=links,
-            ))
-
-    def metrics(self, request: dict) -> None:
-        forms = {"gauge": "Gauge", "sum": "Sum", "histogram": "Histogram", "exponential_histogram": "Histogram", "summary": "Histogram"}
-        records = list(self.each(request, "resource_metrics", "scope_metrics", "metrics"))
-        self.limits.events(sum(len(m[f].get("data_points", [])) for m, *_ in records for f in forms if f in m))
-        for m, scope, resource, named in records:
-            form = next((f for f in forms if f in m), None)
-            if form is None:
-                self.out.reject("metric without data")
-                continue
-            data = m[form]
-            temporality = "Cumulative" if form == "summary" else "Unspecified" if form == "gauge" else _pick(TEMPORALITIES, data.get("aggregation_temporality"))
-            for p in data.get("data_points", []):
-                value = hist = None
-                if form in ("gauge", "sum"):
-                    value = p["as_double"] if "as_double" in p else float(p["as_int"]) if "as_int" in p else math.nan
-                else:
-                    hist = {"count": p.get("count", 0), "sum": p.get("sum", 0.0 if form == "summary" else None), "min": p.get("min"), "max": p.get("max"), "bucket_counts": p.get("bucket_counts", []), "bounds": p.get("explicit_bounds", [])}
-                self.out.rows.append(envelope(
-                    self.attributes(p, scope), resource, **named, ts_ns=_ns(p.get("time_unix_nano")) or self.now, observed_ns=self.now, trace_id=None, span_id=None, message=m.get("name", ""),
-                    description=m.get("description") or None, unit=m.get("unit") or None, metric_kind=forms[form].lower(), temporality=temporality.lower(), monotonic=form == "sum" and data.get("is_monotonic", False), value=value, hist=_decimals(hist),
-                ))
-
-
-def _decimals(hist: dict | None) -> dict | None:
-    from decimal import Decimal
-
-    if hist is not None:
-        hist = hist | {"count": Decimal(hist["count"]), "bucket_counts": [Decimal(n) for n in hist["bucket_counts"]]}
-    return hist
+                sent.attributes["event.name"] = x["event_name"]
+            sent.lift(LIFTED)
+        columns = {name: work(sent) for table in (COMMON, DERIVED[signal]) for name, work in table.items()}
+        if signal == "traces" and (columns["trace_id"] is None or columns["span_id"] is None):
+            out.reject("span without trace id or span id")
+            continue
+        out.events.append({**columns, "attributes": sent.attributes, "resource": resource})
+    return out
 
 
 def decode(signal: str, body: bytes | str, encoding: str = "json", now: int | None = None, limits: Limits = Limits()) -> Decoded:
@@ -387,14 +453,12 @@ def decode(signal: str, body: bytes | str, encoding: str = "json", now: int | No
             raise malformed(e) from None
     else:
         request = from_proto(signal, memoryview(body if isinstance(body, bytes) else bytes(body)))
-    m = _Mapper(time.time_ns() if now is None else now, limits)
-    getattr(m, signal)(request)
-    return m.out
+    return map_request(signal, request, time.time_ns() if now is None else now, limits)
 
 
 def decode_frame(bodies: DataFrame, signal: str, encoding: str = "json", now: int | None = None, limits: Limits = Limits(), on_error: str = "fail") -> DataFrame:
     """Rows from a frame of request bodies, text for JSON and binary for protobuf."""
-    return frame_of(bodies, lambda body, at: decode(signal, body, encoding, at, limits).rows, signal, now, on_error)
+    return frame_of(bodies, lambda body, at: decode(signal, body, encoding, at, limits).events, signal, now, on_error)
 
 
 def rejections(bodies: DataFrame, signal: str, encoding: str = "json", limits: Limits = Limits()) -> DataFrame:
@@ -409,7 +473,7 @@ def rejections(bodies: DataFrame, signal: str, encoding: str = "json", limits: L
         for body in column:
             try:
                 d = decode(signal, body, encoding, 0, limits)
-                rows.append((len(d.rows), d.rejected, d.reason, None))
+                rows.append((len(d.events), d.rejected, d.reason, None))
             except IngestError as e:
                 rows.append((0, 0, None, str(e)))
         return pd.DataFrame(rows, columns=["accepted", "rejected", "reason", "error"])
