@@ -2,7 +2,6 @@
 
 import base64
 import json
-import struct
 import threading
 from collections import Counter
 
@@ -94,40 +93,10 @@ METRICS = {"resourceMetrics": [{"scopeMetrics": [{"metrics": [
 ]}]}]}
 
 
-def encode(kind, value):
-    """A protobuf message from the decoder's own dictionaries, by the public wire format."""
-
-    def varint(n):
-        n &= 2**64 - 1
-        out = b""
-        while n > 127:
-            out, n = out + bytes([n & 127 | 128]), n >> 7
-        return out + bytes([n])
-
-    out = b""
-    numbers = {name: (number, k) for number, (name, k) in otlp.MESSAGES[kind].items()}
-    for name, v in value.items():
-        number, k = numbers[name]
-        inner = k.strip("[]")
-        if k in ("[u64]", "[double]"):
-            raw = b"".join(struct.pack("<d" if inner == "double" else "<Q", x) for x in v)
-            out += varint(number << 3 | 2) + varint(len(raw)) + raw
-            continue
-        for x in v if k.startswith("[") else [v]:
-            if inner in otlp.MESSAGES or inner in ("string", "id", "bytes"):
-                raw = encode(inner, x) if inner in otlp.MESSAGES else x.encode() if inner == "string" else x
-                out += varint(number << 3 | 2) + varint(len(raw)) + raw
-            elif inner in ("u64", "i64", "double"):
-                out += varint(number << 3 | 1) + struct.pack({"u64": "<Q", "i64": "<q", "double": "<d"}[inner], x)
-            else:
-                out += varint(number << 3) + varint(int(x))
-    return out
-
-
 @pytest.mark.parametrize("signal, body", [("logs", LOGS), ("traces", SPANS), ("metrics", METRICS)])
 def test_otlp_json_and_protobuf_agree(signal, body):
     a = otlp.decode(signal, json.dumps(body), "json", NOW)
-    b = otlp.decode(signal, encode(signal, otlp.from_json(signal, body)), "protobuf", NOW)
+    b = otlp.decode(signal, otlp.to_proto(signal, otlp.from_json(signal, body)), "protobuf", NOW)
     assert a == b and a.rows
 
 
@@ -407,20 +376,3 @@ def test_partial_success(spark):
     bodies = spark.createDataFrame([(json.dumps(SPANS),), ("[",), (json.dumps(METRICS),)], "body string")
     got = [tuple(r) for r in otlp.rejections(bodies, "traces").collect()]
     assert got[0] == (3, 1, "span without trace id or span id", None) and got[1][3].startswith("invalid OTLP payload") and got[2] == (0, 0, None, None)
-
-
-@pytest.mark.parametrize("round_trip, cols", [("ndjson_round_trip", "CAST(user_id AS VARCHAR), value"), ("otlp_round_trip", "CAST(k AS VARCHAR)")])
-def test_every_event_goes_through_ingest(spark, round_trip, cols):
-    """The registered queries and their SQL keep a tenth; this is the whole table."""
-    import duckdb
-
-    from tracewell import queries
-    from tracewell.sources import views
-
-    sf = "/root/testdata/sf0.001"
-    with duckdb.connect() as db:
-        db.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
-        want = db.execute(f"WITH {queries.LOGS} SELECT ts_ns, service, message, trace_id, level, {cols} FROM logs").fetchall()
-        n = db.execute("SELECT count(*) FROM events").fetchone()[0]
-    got = [tuple(r) for r in getattr(queries, round_trip)(views.logs(spark, sf).df).collect()]
-    assert len(got) == n and Counter(got) == Counter(want)

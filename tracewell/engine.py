@@ -24,24 +24,35 @@ class Engine:
         self.store, self.admission, self.limits = store, Admission(running), budget or {}
         self.stats, self.last = QueryStats(), None
 
-    def _run(self, signal: str, query: str, start: Any, stop: Any, now: int | None, default_ms: int | None, work) -> Any:
+    def _run(self, signal: str, query: str, start: Any, stop: Any, now: int | None, default_ms: int | None, work, lazily: bool = False) -> Any:
+        """work(view, filter, from, to), or with lazily work(table, filter, from, to, budget, manifest), which reads and charges what it needs and gives its diagnostics too."""
         now = time.time_ns() if now is None else now
         e: Expr | None = parse(query or "")
         a, b = time_range(start, stop, now, default_ms)
         table = self.store[signal]
         with self.admission.slot():
-            budget = Budget(**self.limits)
+            budget, m = Budget(**self.limits), table.manifest()
             began = time.monotonic()
             with budget.running(table.spark):
-                out = work(table.view(a, b, budget), e, a, b)
-            self.last = table.diagnose(a, b)
+                if lazily:
+                    out, self.last = work(table, e, a, b, budget, m)
+                else:
+                    out, self.last = work(table.view(a, b, budget, m), e, a, b), table.diagnose(a, b, m)
             self.last.fields, self.last.elapsed_ms = fields_of(e), (time.monotonic() - began) * 1000
             self.stats.record(signal, self.last, now // 1_000_000)
             return out
 
     def events(self, signal: str, query: str = "", start: Any = None, stop: Any = None, limit: int | None = None, cursor: str | None = None, forward: bool = False, now: int | None = None) -> search.Page:
-        check_limit(limit)
-        return self._run(signal, query, start, stop, now, None, lambda v, e, a, b: search.page(v, e, a, b, limit, cursor, forward))
+        """A page of matches, newest first. Files are read in that order, and no more than it takes."""
+        n = check_limit(limit)
+        at = search.Cursor.decode(cursor) if cursor else None
+
+        def work(table, e, a, b, budget, m):
+            rows, done = table.latest(e, a, b, n + 1, at, forward, budget, m)
+            token = search.Cursor(rows[n - 1]["ts_ns"], rows[n - 1]["id"]).encode() if len(rows) > n else None
+            return search.Page(rows[:n], token), done
+
+        return self._run(signal, query, start, stop, now, None, work, lazily=True)
 
     def count(self, signal: str, query: str = "", start: Any = None, stop: Any = None, now: int | None = None) -> int:
         return self._run(signal, query, start, stop, now, None, lambda v, e, a, b: search.count(v, e, a, b).first()[0])
@@ -55,12 +66,12 @@ class Engine:
 
     def facets(self, signal: str, query: str = "", start: Any = None, stop: Any = None, fields: list[str] | None = None, sample: int = _facets.SAMPLE, now: int | None = None) -> dict:
         def work(v, e, a, b):
-            rows = _facets.facets(v, e, a, b, sample, only=fields).collect()
+            rows = _facets.facets(v, e, a, b, sample, only=fields, with_sampled=True).collect()
             listed: dict[str, dict] = {}
             for r in rows:
                 f = listed.setdefault(r["field"], {"field": r["field"], "count": r["events"], "truncated": r["truncated"], "values": []})
                 f["values"].append({"value": r["value"], "count": r["count"]})
-            return {"sampled": min(sample, search.count(v, e, a, b).first()[0]), "fields": list(listed.values())}
+            return {"sampled": rows[0]["sampled"] if rows else min(sample, search.count(v, e, a, b).first()[0]), "fields": list(listed.values())}
 
         return self._run(signal, query, start, stop, now, None, work)
 

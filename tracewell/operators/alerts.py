@@ -8,7 +8,8 @@ import operator
 import urllib.error
 import urllib.request
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from typing import Any, Protocol
 
 from tracewell.operators.search import count
 from tracewell.plans.parser import QueryError, parse
@@ -79,14 +80,32 @@ class State:
     error: str | None = None
 
 
+class Memory(Protocol):
+    """Where states and transitions outlive the process: tracewell.sources.alert_store.AlertStore."""
+
+    def read(self) -> tuple[dict[str, dict], list[dict]]: ...
+
+    def write(self, states: dict[str, dict], entry: dict | None) -> None: ...
+
+
 @dataclass
 class Monitor:
-    """Alerts, their states, and the history of transitions: one entry per change of status."""
+    """Alerts, their states, and the history of transitions: one entry per change of status.
+
+    send: called with the webhook's address and the entry; without it they are posted. With a memory, states and history are what an earlier monitor left.
+    """
 
     alerts: list[Alert]
-    send: Callable[[str, dict], None] | None = None
+    send: Callable[[str, dict], Any] | None = None
     states: dict[str, State] = field(default_factory=dict)
     history: list[dict] = field(default_factory=list)
+    memory: Memory | None = None
+
+    def __post_init__(self):
+        if self.memory is not None:
+            states, history = self.memory.read()
+            self.states = {**{k: State(**v) for k, v in states.items()}, **self.states}
+            self.history = history + self.history
 
     def due(self, now_ms: int) -> list[Alert]:
         out = []
@@ -101,12 +120,15 @@ class Monitor:
         s = self.states.setdefault(alert.name, State())
         before = s.status
         s.value, s.evaluated_ms, s.error = e.value, now_ms, e.error
+        entry = None
         if before != e.status:
             s.status, s.transition_ms = e.status, now_ms
             entry = {"alert": alert.name, "from": before, "to": e.status, "value": e.value, "message": e.error, "at": now_ms}
             self.history.append(entry)
-            if alert.webhook_url and self.send:
-                self.send(alert.webhook_url, entry)
+        if self.memory is not None:
+            self.memory.write({k: asdict(v) for k, v in self.states.items()}, entry)
+        if entry and alert.webhook_url:
+            (self.send or send_webhook)(alert.webhook_url, entry)
         return before
 
     def tick(self, views: dict[str, View], now_ns: int) -> list[tuple[Alert, Evaluation]]:

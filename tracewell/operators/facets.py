@@ -37,8 +37,8 @@ def _elements(field: str, pos: int, values: Column) -> Column:
     return F.coalesce(F.transform(values, lambda x: _entry(field, pos, x)), F.array().cast(_ENTRIES))
 
 
-def facets(view: View, e: Expr | None = None, start: int | None = None, stop: int | None = None, sample: int = SAMPLE, top: int = TOP_VALUES, only: list[str] | None = None) -> DataFrame:
-    """Per listed value: rank (of the field), field, events (that have the field), truncated, value_rank, value, count.
+def facets(view: View, e: Expr | None = None, start: int | None = None, stop: int | None = None, sample: int = SAMPLE, top: int = TOP_VALUES, only: list[str] | None = None, with_sampled: bool = False) -> DataFrame:
+    """Per listed value: rank (of the field), field, events (that have the field), truncated, value_rank, value, count; with_sampled also how many events were sampled.
 
     Counts over the `sample` newest matches, which is the feature: everything after the top-k works on that many rows.
     A field's events count once; each element of an array counts as a value. Null properties don't count.
@@ -47,7 +47,7 @@ def facets(view: View, e: Expr | None = None, start: int | None = None, stop: in
     """
     if only is not None and len(only) > MAX_FIELDS:
         raise QueryError(f"'fields' may name at most {MAX_FIELDS} fields")
-    newest_rows = newest(view, e, start, stop, sample)
+    newest_rows = newest(view, e, start, stop, sample).coalesce(1)
     order = Window.orderBy(view.columns["timestamp"].desc(), F.col("id").desc())
     rows = newest_rows.withColumn("_n", F.row_number().over(order))
     arrays = [F.array(_entry(k, i, v)) for i, (k, v) in enumerate(_fixed(view).items()) if only is None or k in only]
@@ -61,17 +61,19 @@ def facets(view: View, e: Expr | None = None, start: int | None = None, stop: in
             leaf = leaf if only is None else F.filter(leaf, lambda x: x["field"].isin(list(only)))
             arrays.append(F.coalesce(leaf, F.array().cast(_ENTRIES)))
     if not arrays:
-        return view.df.sparkSession.createDataFrame([], "rank int, field string, events long, truncated boolean, value_rank int, value string, count long")
-    # one pass over the sample makes all (event, field, value) rows
-    found = rows.select("_n", F.explode(F.concat(*arrays)).alias("f")).select("_n", "f.field", "f.pos", "f.value").where("value is not null")
+        return view.df.sparkSession.createDataFrame([], "rank int, field string, events long, truncated boolean, value_rank int, value string, count long" + ", sampled long" * with_sampled)
+    # one pass over the sample makes all (event, field, value) rows; the top-k has one partition, and all that follows stays in it
+    found = rows.withColumn("sampled", F.count(F.lit(1)).over(Window.partitionBy())).select("sampled", "_n", F.explode(F.concat(*arrays)).alias("f"))
+    found = found.select("sampled", "_n", "f.field", "f.pos", "f.value").where("value is not null")
     at = F.struct("_n", "pos")
-    values = found.groupBy("field", "value").agg(F.count("*").alias("count"), F.min(at).alias("first"))
-    fields = found.groupBy("field").agg(F.countDistinct("_n").alias("events"), F.min(at).alias("met"))
-    fields = fields.withColumn("seen", F.row_number().over(Window.orderBy("met"))).where(F.col("seen") <= MAX_TRACKED_FIELDS)
+    of_field = Window.partitionBy("field")
+    found = found.withColumn("one", F.row_number().over(Window.partitionBy("field", "_n").orderBy("pos")) == 1)
+    found = found.withColumn("events", F.count_if("one").over(of_field))
+    values = found.groupBy("field", "value", "events", "sampled").agg(F.count("*").alias("count"), F.min(at).alias("first"))
+    values = values.withColumn("met", F.min("first").over(of_field)).withColumn("k", F.row_number().over(of_field.orderBy("first"))).withColumn("all", F.count("*").over(of_field))
+    values = values.withColumn("seen", F.dense_rank().over(Window.orderBy("met"))).where((F.col("seen") <= MAX_TRACKED_FIELDS) & (F.col("k") <= MAX_TRACKED_VALUES))
     place = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(WELL_KNOWN) for x in (k, i)]), F.col("field")), F.lit(len(WELL_KNOWN)))
-    fields = fields.withColumn("rank", F.row_number().over(Window.orderBy(place, F.desc("events"), "field"))).where(F.col("rank") <= MAX_FIELDS)
-    per_field = Window.partitionBy("field")
-    values = values.withColumn("k", F.row_number().over(per_field.orderBy("first"))).withColumn("all", F.count("*").over(per_field)).where(F.col("k") <= MAX_TRACKED_VALUES)
-    values = values.withColumn("value_rank", F.row_number().over(per_field.orderBy(F.desc("count"), "value"))).where(F.col("value_rank") <= top)
-    out = fields.join(values, "field").select("rank", "field", "events", (F.col("all") > top).alias("truncated"), "value_rank", "value", "count")
-    return out.orderBy("rank", "value_rank")
+    values = values.withColumn("rank", F.dense_rank().over(Window.orderBy(place, F.desc("events"), "field"))).where(F.col("rank") <= MAX_FIELDS)
+    values = values.withColumn("value_rank", F.row_number().over(of_field.orderBy(F.desc("count"), "value"))).where(F.col("value_rank") <= top)
+    out = values.select("rank", "field", "events", (F.col("all") > top).alias("truncated"), "value_rank", "value", "count", *["sampled"] * with_sampled)
+    return out.sortWithinPartitions("rank", "value_rank")

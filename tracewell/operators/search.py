@@ -92,4 +92,11 @@ def correlate(logs: View, spans: View, e: Expr | None = None, span_filter: Expr
     return left.join(right, "trace_id")
 
 
-__all__ = ["Cursor", "Page", "correlate", "count", "in_range", "newest", "page", "trace_logs"]
+def correlate_counts(logs: View, spans: View, e: Expr | None = None, span_filter: Expr | None = None) -> DataFrame:
+    """Per trace that has both: how many logs and spans match. Each side is counted before the join, so a hot trace is a row on either."""
+    left = matching(logs, conjunction(Comparison("traceId", "!=", None), e)).groupBy(logs.columns["traceId"].alias("trace_id")).agg(F.count(F.lit(1)).alias("logs"))
+    right = matching(spans, conjunction(Comparison("traceId", "!=", None), span_filter)).groupBy(spans.columns["traceId"].alias("trace_id")).agg(F.count(F.lit(1)).alias("spans"))
+    return left.join(right, "trace_id")
+
+
+__all__ = ["Cursor", "Page", "correlate", "correlate_counts", "count", "in_range", "newest", "page", "trace_logs"]

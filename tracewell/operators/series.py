@@ -42,11 +42,6 @@ def bucket(ts: Column, step: int) -> Column:
     return ts - F.pmod(ts, F.lit(step))
 
 
-def _all_buckets(df: DataFrame, first: int, step: int, n: int) -> DataFrame:
-    """A frame of at most MAX_POINTS rows."""
-    return df.sparkSession.range(n).select((F.lit(first) + F.col("id") * F.lit(step)).alias("bucket"))
-
-
 def histogram(view: View, e: Expr | None, start: int, stop: int, buckets: int = 60, step_ms: int | None = None, levels: bool | None = None) -> DataFrame:
     """bucket (ns), count, and for logs levels: counts of [none, Trace, ... Fatal]. Empty buckets are there."""
     step_ms = step_ms or choose_step_ms(start, stop, buckets)
@@ -58,8 +53,9 @@ def histogram(view: View, e: Expr | None, start: int, stop: int, buckets: int =
         code = F.coalesce(view.columns["level"].cast("int"), F.lit(0)) if "level" in view.columns else F.lit(0)
         aggs += [F.count_if(code == k).alias(f"level_{k}") for k in range(7)]
     found = matching(view, e, start, stop).groupBy(bucket(view.columns["timestamp"], step).alias("bucket")).agg(*aggs)
-    # at most MAX_POINTS groups come out of the aggregate, whatever went in
-    out = _all_buckets(view.df, first, step, n).join(found, "bucket", "left").orderBy("bucket")
+    # at most MAX_POINTS groups come out of the aggregate, whatever went in: they and the grid are one partition each
+    all_ = view.df.sparkSession.range(0, n, 1, 1).select((F.lit(first) + F.col("id") * F.lit(step)).alias("bucket"))
+    out = all_.join(found.coalesce(1).hint("merge"), "bucket", "left").sortWithinPartitions("bucket")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     cols = ["bucket", zero("count").alias("count")]
     return out.select(*cols, *([F.array(*(zero(f"level_{k}") for k in range(7))).alias("levels")] if with_levels else []))
@@ -115,11 +111,15 @@ def metric_series(view: View, name: str, start: int, stop: int, agg: str = "avg"
         part = part.join(F.broadcast(named), F.col("g") == F.col("kept"), "left").withColumn("g", F.coalesce("kept", F.lit(OTHER)))
     value = {"sum": F.sum("s"), "count": F.sum("c"), "min": F.min("mn"), "max": F.max("mx"), "avg": F.when(F.sum("c") > 0, F.sum("s") / F.sum("c")), "last": F.max("lst")["last"]}[agg]
     found = part.groupBy("g", "bucket").agg(value.cast("double").alias("value"))
-    groups = found.select("g").distinct()
-    dense = groups.withColumn("bucket", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(first) + i.cast("long") * F.lit(step))))
-    other = found.select(F.col("g").alias("g2"), F.col("bucket").alias("b2"), "value")
-    out = dense.join(other, F.col("g").eqNullSafe(F.col("g2")) & (F.col("bucket") == F.col("b2")), "left")
-    return out.select(F.col("g").alias("group"), "bucket", "value").orderBy(F.col("group").asc_nulls_first(), "bucket")
+    # at most 21 groups of n buckets, in one partition; each bucket also stands for the empty ones up to the next
+    found = found.coalesce(1)
+    per = Window.partitionBy("g").orderBy("bucket")
+    start = F.when(F.lag("bucket").over(per).isNull(), F.lit(first)).otherwise(F.col("bucket"))
+    stop = F.coalesce(F.lead("bucket").over(per), F.lit(first + n * step)) - F.lit(step)
+    dense = found.select("g", "value", "bucket", start.alias("a"), stop.alias("b"))
+    dense = dense.select(F.col("g").alias("group"), F.explode(F.sequence("a", "b", F.lit(step))).alias("at"), "bucket", "value")
+    out = dense.select("group", F.col("at").alias("bucket"), F.when(F.col("at") == F.col("bucket"), F.col("value")).alias("value"))
+    return out.sortWithinPartitions(F.col("group").asc_nulls_first(), "bucket")
 
 
 def metric_meta(view: View, name: str, start: int, stop: int, e: Expr | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.limits import SUMMARY_SPANS, TRACE_SPANS, ResultLimit
@@ -29,27 +29,45 @@ def summarize(spans: DataFrame, cap: int | None = SUMMARY_SPANS) -> DataFrame:
 
     spans: trace_id, span_id, parent, ts, id, duration_ns, name, service, status. The root is the earliest span
     without a parent in the trace; ties go to the smaller id. With a cap only the first `cap` spans of a trace
-    (by time and id) count, and truncated says so. Roots are found with a join on (trace, parent), not by
-    gathering a trace's spans; the cap ranks within salted parts of a trace first.
+    (by time and id) count, and truncated says so; the cap ranks within salted parts of a trace first.
     """
-    if cap is not None:
-        # no trace can have more than cap spans that matter in any of its parts, so a task never ranks a whole hot trace
-        part = Window.partitionBy("trace_id", "_salt").orderBy("ts", "id")
-        spans = spans.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= cap + 1).drop("_k", "_salt")
-        order = Window.partitionBy("trace_id").orderBy("ts", "id")
-        spans = spans.withColumn("_k", F.row_number().over(order)).withColumn("_over", F.col("_k") > cap)
-        over = spans.groupBy("trace_id").agg(F.max("_over").alias("truncated"))
-        spans = spans.where(~F.col("_over")).drop("_k", "_over")
+    if cap is None:
+        return _summarize_all(spans)
+    # no trace can have more than cap spans that matter in any of its parts, so a task never ranks a whole hot trace
+    part = Window.partitionBy("trace_id", "_salt").orderBy("ts", "id")
+    spans = spans.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= cap + 1).drop("_k", "_salt")
+    order = Window.partitionBy("trace_id").orderBy("ts", "id")
+    spans = spans.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= cap + 1)
+    kept = F.col("_k") <= cap
+    each = F.when(kept, F.struct("ts", "id", "name", "service", "parent"))
+    # a group has cap spans at most, so its ids fit an array: parents that are none of them are looked up in what is left over
+    out = spans.groupBy("trace_id").agg(
+        F.collect_list(each).alias("each"), F.collect_set(F.when(kept, F.col("span_id"))).alias("ids"), F.collect_set(F.when(kept, F.col("parent"))).alias("parents"),
+        *(x.alias(n) for n, x in _numbers(kept).items()), F.max(~kept).alias("truncated"),
+    )
+    missing = F.array_except("parents", "ids")
+    roots = F.transform(F.filter("each", lambda x: x["parent"].isNull() | F.array_contains(F.col("missing"), x["parent"])), lambda x: F.struct(x["ts"], x["id"], x["name"], x["service"]))
+    return _shown(out.withColumn("missing", missing).withColumn("root", F.array_min(roots)), F.col("truncated"))
+
+
+def _numbers(kept: Column) -> dict[str, Column]:
+    end = F.col("ts") + F.least(F.col("duration_ns").cast("decimal(20,0)"), F.lit(2**63 - 1).cast("decimal(20,0)")).cast("long")
+    when = lambda x: F.when(kept, x)
+    return {"start": F.min(when(F.col("ts"))), "end": F.max(when(end)), "span_count": F.count_if(kept), "services": F.array_sort(F.collect_set(when(F.col("service")))), "error_count": F.count_if(kept & (F.col("status") == "Error"))}
+
+
+def _shown(out: DataFrame, truncated: Column) -> DataFrame:
+    ms = ((F.col("end") - F.col("start")) / 1e6).alias("duration_ms")
+    return out.select("trace_id", F.col("root")["name"].alias("root_name"), F.col("root")["service"].alias("root_service"), "start", ms, "span_count", "services", "error_count", truncated.alias("truncated"))
+
+
+def _summarize_all(spans: DataFrame) -> DataFrame:
+    """Without a cap a trace may be larger than a task: roots are found with a join on (trace, parent), not by gathering a trace's spans."""
     ids = spans.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s")).where("s is not null").distinct()
     spans = spans.join(ids, (F.col("trace_id") == F.col("t")) & (F.col("parent") == F.col("s")), "left")
     root = F.when(F.col("s").isNull(), F.struct("ts", "id", "name", "service"))
-    end = F.col("ts") + F.least(F.col("duration_ns").cast("decimal(20,0)"), F.lit(2**63 - 1).cast("decimal(20,0)")).cast("long")
-    out = spans.groupBy("trace_id").agg(
-        F.min(root).alias("root"), F.min("ts").alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("span_count"),
-        F.array_sort(F.collect_set("service")).alias("services"), F.count_if(F.col("status") == "Error").alias("error_count"),
-    )
-    out = out.select("trace_id", F.col("root.name").alias("root_name"), F.col("root.service").alias("root_service"), "start", ((F.col("end") - F.col("start")) / 1e6).alias("duration_ms"), "span_count", "services", "error_count")
-    return out.join(over, "trace_id") if cap is not None else out.withColumn("truncated", F.lit(False))
+    out = spans.groupBy("trace_id").agg(F.min(root).alias("root"), *(x.alias(n) for n, x in _numbers(F.lit(True)).items()))
+    return _shown(out, F.lit(False))
 
 
 def trace_search(view: View, e: Expr | None = None, start: int | None = None, stop: int | None = None, limit: int = DEFAULT_TRACES) -> DataFrame:
@@ -85,8 +103,10 @@ def trace(view: View, trace_id: str, start: int | None = None, stop: int | None
     return rows
 
 
-def waterfall(view: View, df: DataFrame | None = None) -> DataFrame:
-    """Spans of every trace with their offset from the trace's start and their place in it."""
+def waterfall(view: View, df: DataFrame | None = None, most: int = TRACE_SPANS) -> DataFrame:
+    """Spans of every trace with their offset from the trace's start and their place in it; of each trace the first `most`, by time and id."""
     spans = _spans(view, view.df if df is None else df)
-    per = Window.partitionBy("trace_id")
-    return spans.withColumn("offset_ns", F.col("ts") - F.min("ts").over(per)).withColumn("position", F.row_number().over(per.orderBy("ts", "id")))
+    part = Window.partitionBy("trace_id", "_salt").orderBy("ts", "id")
+    spans = spans.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= most).drop("_k", "_salt")
+    order = Window.partitionBy("trace_id").orderBy("ts", "id")
+    return spans.withColumn("offset_ns", F.col("ts") - F.first("ts").over(order)).withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)

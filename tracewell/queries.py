@@ -14,6 +14,7 @@ from tracewell.plans.compiler import flag, matching, rfc3339_col
 from tracewell.plans.parser import parse
 from tracewell.plans.view import View
 from tracewell.sources import views
+from tracewell.sources.scratch import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -201,12 +202,12 @@ def metric_histogram_points(spark, sf_dir):
     return out.select("group", "bucket", F.round("value", 4).alias("value"))
 
 
-@query(f"WITH {METRICS} SELECT DISTINCT name, false AS truncated FROM metrics")
+@query(f"WITH {METRICS}, n AS (SELECT DISTINCT name FROM metrics) SELECT name, (SELECT count(*) FROM n) > 1000 AS truncated FROM n ORDER BY name LIMIT 1000")
 def metric_names(spark, sf_dir):
     return series.metric_names(views.metrics(spark, sf_dir))
 
 
-@query("SELECT '1' AS unit, 'gauge' AS kind, 'purchase' AS description")
+@query(f"WITH {METRICS} SELECT '1' AS unit, 'gauge' AS kind, arg_min(replace(name, 'events.', ''), (ts_ns, id)) AS description FROM metrics WHERE name = 'events.purchase' AND ts_ns >= {FROM_NS} AND ts_ns < {TO_NS} HAVING count(*) > 0")
 def metric_meta(spark, sf_dir):
     return series.metric_meta(views.metrics(spark, sf_dir), "events.purchase", FROM_NS, TO_NS)
 
@@ -265,12 +266,16 @@ def alert_window_count(spark, sf_dir):
     return spark.createDataFrame([(a.name, e.value, e.status)], "alert string, value double, status string")
 
 
-@query("""SELECT 'user_id' AS field, count(user_id) AS present, CAST(min(user_id) AS DOUBLE) AS min, CAST(max(user_id) AS DOUBLE) AS max FROM events
-UNION ALL SELECT 'value', count(value), min(value), max(value) FROM events""")
+@query("""SELECT 'user_id' AS field, count(user_id) AS present, CAST(min(user_id) AS DOUBLE) AS min, CAST(max(user_id) AS DOUBLE) AS max, count(DISTINCT user_id) > 0 AS distinct_is_near FROM events
+UNION ALL SELECT 'value', count(value), min(value), max(value), count(DISTINCT value) > 0 FROM events""")
 def field_stats(spark, sf_dir):
     from tracewell.operators.stats import field_stats as stats
 
-    return stats(views.logs(spark, sf_dir).df, ["user_id", "value"]).select("field", "present", "min", "max")
+    df = views.logs(spark, sf_dir).df
+    exact = df.agg(F.countDistinct("user_id").alias("user_id"), F.countDistinct("value").alias("value"))
+    got = stats(df, ["user_id", "value"]).crossJoin(F.broadcast(exact))  # a row
+    n = F.when(F.col("field") == "user_id", F.col("user_id")).otherwise(F.col("value"))
+    return got.select("field", "present", "min", "max", (F.abs(F.col("distinct") - n) <= 0.2 * n).alias("distinct_is_near"))
 
 
 @query("""SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN event_id * 1000000000 WHEN event_id % 4 = 1 THEN (event_id + 100000000000) * 1000000 WHEN event_id % 4 = 2 THEN (event_id + 100000000000000) * 1000 ELSE event_id + 100000000000000000 END AS ts_ns FROM events""")
@@ -292,7 +297,8 @@ CASE {' '.join(f"WHEN word IN ({', '.join(map(repr, names))}) THEN '{label}'" fo
 def level_alias_parse(spark, sf_dir):
     e = views.read(spark, sf_dir, "events")
     words = F.array(*map(F.lit, _SPELLINGS))
-    word = F.concat(F.lit(" "), F.upper(F.get(words, (F.col("event_id") % len(_SPELLINGS)).cast("int"))))
+    blank = F.get(F.array(*map(F.lit, (" ", "\t", "\n", "\u00a0", ""))), (F.col("event_id") % 5).cast("int"))
+    word = F.concat(blank, F.upper(F.get(words, (F.col("event_id") % len(_SPELLINGS)).cast("int"))), blank)
     code = level_code_col(word)
     return e.select(F.col("event_id").alias("id"), code.cast("int").alias("level"), level_name_col(code).alias("name"))
 
@@ -302,7 +308,8 @@ def id_normalise(spark, sf_dir):
     e = views.read(spark, sf_dir, "events")
     i = F.col("event_id")
     raw = F.when(i % 3 == 0, "0000").when(i % 3 == 1, F.hex(i)).otherwise(F.concat(F.lit("Req-"), i.cast("string")))
-    return e.select(i.alias("id"), normalise_id_col(raw).alias("norm"))
+    blank = F.get(F.array(*map(F.lit, ("", "\t", " \n"))), (i % 5 % 3).cast("int"))
+    return e.select(i.alias("id"), normalise_id_col(F.concat(blank, raw, blank)).alias("norm"))
 
 
 @query("SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' WHEN epoch_us(ts) % 1000 = 0 THEN '.' || lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') ELSE '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') END || 'Z' AS text FROM events")
@@ -311,23 +318,6 @@ def render_time(spark, sf_dir):
     return v.df.select("id", rfc3339_col(F.col("ts_ns")).alias("text"))
 
 
-@query(None)
-def render_template(spark, sf_dir):
-    from tracewell.sources.native import parse_frame
-
-    e = views.read(spark, sf_dir, "events")
-    line = F.to_json(F.struct(F.col("event_id").alias("@t"), F.lit("User {UserId} did {Kind:l}").alias("@mt"), F.col("user_id").alias("UserId"), F.col("event_type").alias("Kind")))
-    return parse_frame(e.select(line.alias("body")), "ndjson").select("ts_ns", "message", "message_template")
-
-
-@query(None)
-def render_event_json(spark, sf_dir):
-    from tracewell.sources.render import event_json
-
-    v = views.logs(spark, sf_dir)
-    return v.df.select("id", event_json(v).alias("json"))
-
-
 def ndjson_round_trip(logs: DataFrame) -> DataFrame:
     """All rows of logs written as NDJSON and read back through ingest."""
     from tracewell.sources.native import parse_frame
@@ -353,33 +343,30 @@ def otlp_round_trip(logs: DataFrame) -> DataFrame:
     return rows.select("ts_ns", "service", "message", "trace_id", F.col("level").cast("int").alias("level"), F.element_at("attr", "k")["txt"].alias("k"))
 
 
-@query(f"WITH {LOGS} SELECT ts_ns, service, message, trace_id, level, CAST(user_id AS VARCHAR) AS user, value FROM logs WHERE id % 10 = 0")
+@query(f"WITH {LOGS} SELECT ts_ns, service, message, trace_id, level, CAST(user_id AS VARCHAR) AS user, value FROM logs")
 def ingest_ndjson(spark, sf_dir):
-    """A tenth of the events, as its SQL has it; ndjson_round_trip takes all."""
-    return ndjson_round_trip(views.logs(spark, sf_dir).df.where("id % 10 = 0"))
+    return ndjson_round_trip(views.logs(spark, sf_dir).df)
 
 
-@query(f"WITH {LOGS} SELECT ts_ns, service, message, trace_id, level, CAST(k AS VARCHAR) AS k FROM logs WHERE id % 10 = 1")
+@query(f"WITH {LOGS} SELECT ts_ns, service, message, trace_id, level, CAST(k AS VARCHAR) AS k FROM logs")
 def ingest_otlp_logs(spark, sf_dir):
-    """A tenth of the events, as its SQL has it; otlp_round_trip takes all."""
-    return otlp_round_trip(views.logs(spark, sf_dir).df.where("id % 10 = 1"))
+    return otlp_round_trip(views.logs(spark, sf_dir).df)
 
 
 @query(f"""WITH {LOGS}, w AS (SELECT ts_ns // 21600000000000 * 21600000000000 AS start, CAST(count(*) AS DOUBLE) AS value FROM logs WHERE level = 5 GROUP BY 1)
 SELECT start, value, CASE WHEN value > 15 THEN 'FIRING' ELSE 'OK' END AS status FROM w""")
 def stream_alert_windows(spark, sf_dir):
     """The events as a stream: an alert's count and status in every window of six hours, run until the input is used up."""
-    import uuid
-
+    from tracewell.streaming import live
     from tracewell.streaming.live import alert_stream
 
     source = spark.readStream.schema(views.read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
     v = views.logs_of(source)
     a = alerts.Alert("errors", "level = Error", ">", 15, window_secs=6 * 3600, interval_secs=6 * 3600)
-    name = f"alerts_{uuid.uuid4().hex}"
-    q = alert_stream(v, a).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select((F.unix_micros("start") * 1000).alias("start"), "value", "status")
+    path = new_folder(spark, "alerts")
+    rows = alert_stream(v, a)
+    live.changes(rows, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return live.newest_of(spark.read.parquet(f"{path}/out"), "start").select((F.unix_micros("start") * 1000).alias("start"), "value", "status")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
