@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.vocab import level_name_col
-from tracewell.operators.search import newest
+from tracewell.operators.search import keys, newest, rows_between
 from tracewell.plans.ast import Expr
 from tracewell.plans.parser import QueryError
 from tracewell.plans.view import View
@@ -47,7 +47,12 @@ def facets(view: View, e: Expr | None = None, start: int | None = None, stop: in
     """
     if only is not None and len(only) > MAX_FIELDS:
         raise QueryError(f"'fields' may name at most {MAX_FIELDS} fields")
-    newest_rows = newest(view, e, start, stop, sample).coalesce(1)
+    if view.attributes:
+        # stored rows are wide: the sample's bounds are found first, at once, and then only its rows are read
+        at = keys(view, e, start, stop, sample)
+        newest_rows = rows_between(view, e, at[0], at[-1]).coalesce(1) if at else view.df.where(F.lit(False)).coalesce(1)
+    else:
+        newest_rows = newest(view, e, start, stop, sample).coalesce(1)
     order = Window.orderBy(view.columns["timestamp"].desc(), F.col("id").desc())
     rows = newest_rows.withColumn("_n", F.row_number().over(order))
     arrays = [F.array(_entry(k, i, v)) for i, (k, v) in enumerate(_fixed(view).items()) if only is None or k in only]

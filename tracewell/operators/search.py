@@ -56,6 +56,20 @@ def newest(view: View, e: Expr | None = None, start: int | None = None, stop: in
     return df.orderBy(*order).limit(limit)
 
 
+def keys(view: View, e: Expr | None = None, start: int | None = None, stop: int | None = None, limit: int = DEFAULT_RESULTS, cursor: Cursor | None = None, forward: bool = False) -> list[tuple[int, int]]:
+    """(time, id) of the rows that newest() gives, in their order: the first phase of a search, which reads the filter's columns and these two."""
+    found = newest(view, e, start, stop, limit, cursor, forward).select(view.columns["timestamp"].alias("t"), F.col("id").alias("i"))
+    return [(r["t"], r["i"]) for r in found.collect()]
+
+
+def rows_between(view: View, e: Expr | None, first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
+    """The matches whose (time, id) lies between the two, both included: the second phase, which reads whole rows of the pages that hold them."""
+    (a, i), (b, j) = sorted((first, last))
+    ts, key = view.columns["timestamp"], F.col("id")
+    df = matching(view, e, a, b + 1)
+    return df.where(((ts > a) | (key >= i)) & ((ts < b) | (key <= j)))
+
+
 @dataclass
 class Page:
     rows: list[Row]
@@ -99,4 +113,4 @@ def correlate_counts(logs: View, spans: View, e: Expr | None = None, span_filter
     return left.join(right, "trace_id")
 
 
-__all__ = ["Cursor", "Page", "correlate", "correlate_counts", "count", "in_range", "newest", "page", "trace_logs"]
+__all__ = ["Cursor", "Page", "correlate", "correlate_counts", "keys", "rows_between", "count", "in_range", "newest", "page", "trace_logs"]

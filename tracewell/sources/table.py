@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracewell.operators.limits import Budget, Diagnostics, UnknownSignal
-from tracewell.operators.search import Cursor, newest
+from tracewell.operators.search import Cursor, keys, rows_between
 from tracewell.plans.ast import Expr
 from tracewell.plans.view import SIGNALS, View
 from tracewell.sources import schema
@@ -377,27 +377,30 @@ class SignalTable(JsonFolder):
         if cursor is not None:
             start, stop = (cursor.ts if start is None else max(start, cursor.ts), stop) if forward else (start, cursor.ts + 1 if stop is None else min(stop, cursor.ts + 1))
         m = manifest or self.manifest()
-        sign = -1 if forward else 1
         first = (lambda f: (f.min_ts, f.min_id)) if forward else (lambda f: (-f.max_ts, -f.max_id))
         files = sorted(self.files(start, stop, m), key=first)
-        best: list[Any] = []
+        best: list[tuple[int, int]] = []
         read, step = 0, 1
         while read < len(files):
             if len(best) >= limit:
-                edge, last = files[read], best[-1]
-                if forward and (edge.min_ts, edge.min_id) > (last["ts_ns"], last["id"]) or not forward and (edge.max_ts, edge.max_id) < (last["ts_ns"], last["id"]):
+                edge = files[read]
+                if forward and (edge.min_ts, edge.min_id) > best[-1] or not forward and (edge.max_ts, edge.max_id) < best[-1]:
                     break
             while e is None and read + step < len(files) and sum(f.rows for f in files[read : read + step]) < limit - len(best):
                 step += 1
             group = files[read : read + step]
             if budget:
                 budget.charge(sum(f.bytes for f in group))
-            best += newest(self._view(group), e, start, stop, limit, cursor, forward).collect()
-            best = sorted(best, key=lambda r: (-sign * r["ts_ns"], -sign * r["id"]))[:limit]
+            best = sorted(best + keys(self._view(group), e, start, stop, limit, cursor, forward), reverse=not forward)[:limit]
             read += len(group)
             step *= 4
         done, total = files[:read], sum(d.files for d in m.days.values())
-        return best, Diagnostics(total, total - read, read, sum(f.bytes for f in done), sum(f.rows for f in done), len(best))
+        rows: list[Any] = []
+        if best:  # whole rows only of those, from the files that hold them
+            low, high = min(best), max(best)
+            held = [f for f in done if f.max_ts >= low[0] and f.min_ts <= high[0]]
+            rows = sorted(rows_between(self._view(held), e, low, high).collect(), key=lambda r: (r["ts_ns"], r["id"]), reverse=not forward)
+        return rows, Diagnostics(total, total - read, read, sum(f.bytes for f in done), sum(f.rows for f in done), len(rows))
 
     def stats(self) -> dict[str, Any]:
         """Of the whole table, from the version alone."""
