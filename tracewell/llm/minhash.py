@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,6 @@ SHINGLE = 5
 PERMUTATIONS, BANDS = 80, 40
 #: Ids, and bytes of text, in a block of stage 5 (a longer text is a block of its own); two blocks are in memory at once.
 BLOCK, BLOCK_BYTES = 250, 2 << 20
-#: Words whose hashes a worker remembers.
-REMEMBERED = 300_000
 
 _RNG = np.random.Generator(np.random.PCG64(20_240_229))
 _KEY = _RNG.bytes(32)
@@ -43,31 +40,31 @@ _PLACE = _RNG.integers(0, 2**63, (SHINGLE, 2), dtype=np.uint64) * np.uint64(2) +
 _TURN = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _RNG.integers(0, 2**63, (BANDS, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 1 << 20
+_SALT = _RNG.integers(0, 2**63, (2, 3), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-class _Hashes:
-    """Keyed 128-bit hashes of words, as two 64-bit lanes; those seen are remembered."""
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of raw begins, and its keyed 128-bit hash as two 64-bit lanes.
 
-    def __init__(self):
-        self.at: dict[bytes, int] = {}
-        self.lanes = np.empty((1 << 12, 2), np.uint64)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        at = self.at
-        if len(at) > REMEMBERED:
-            at.clear()
-        new = [w for w in set(words) if w not in at]
-        if new:
-            need, have = len(at) + len(new), len(self.lanes)
-            if need > have:
-                self.lanes = np.concatenate([self.lanes, np.empty((max(need - have, have), 2), np.uint64)])
-            self.lanes[len(at) : need] = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16, key=_KEY).digest() for w in new), "<u8").reshape(-1, 2)
-            for k, w in enumerate(new, len(at)):
-                at[w] = k
-        return self.lanes[np.fromiter(map(at.__getitem__, words), np.int64, len(words))]
-
-
-_HASHES = _Hashes()
+    A word of up to 16 bytes is two whole numbers, mixed with the key; a longer one goes through BLAKE2b first.
+    """
+    data = np.frombuffer(raw.lower() + bytes(16), np.uint8)
+    inside = ~IS_SPACE[data]
+    inside[-16:] = False
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    size = ends - starts
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the 8 bytes from each place on
+    one, two = eight[starts] & _MASK[np.minimum(size, 8)], eight[starts + 8] & _MASK[np.clip(size - 8, 0, 8)]
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        whole = b"".join(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=16, key=_KEY).digest() for k in long)
+        one[long], two[long] = np.frombuffer(whole, "<u8").reshape(-1, 2).T
+    lanes = np.empty((len(starts), 2), np.uint64)
+    for k in (0, 1):
+        lanes[:, k] = mix(mix(mix(one + _SALT[k, 0]) ^ (two + _SALT[k, 1])) + size.astype(np.uint64) * _SALT[k, 2])
+    return starts, lanes
 
 
 def split_words(raw: bytes) -> list[bytes]:
@@ -87,7 +84,7 @@ def _chunks(raw: bytes):
 
 
 def _shingles(words: np.ndarray) -> tuple[np.ndarray, bytes | None]:
-    """words: lanes of a text's words. Its distinct shingles as sorted 64-bit hashes, and a fingerprint of the set from both lanes."""
+    """words: lanes of a text's words. Its distinct shingles as sorted 64-bit hashes, made of both lanes, and a 128-bit fingerprint of the set."""
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64), None
@@ -95,11 +92,9 @@ def _shingles(words: np.ndarray) -> tuple[np.ndarray, bytes | None]:
     total = words[:m] * _PLACE[0]
     for i in range(1, k):
         total += words[i : i + m] * _PLACE[i]
-    total = mix(total + np.uint64(k))
-    one, first = np.unique(total[:, 0] ^ (total[:, 1] >> np.uint64(32)), return_index=True)
-    both = hashlib.blake2b(one.tobytes(), digest_size=16, key=_KEY)
-    both.update(int(total[first, 1].sum(dtype=np.uint64)).to_bytes(8, "little"))
-    return one, both.digest()
+    total += np.uint64(k)
+    distinct = np.unique(mix(total[:, 0] ^ mix(total[:, 1])))
+    return distinct, hashlib.blake2b(distinct.tobytes(), digest_size=16, key=_KEY).digest()
 
 
 def hashed_sets(texts: list[str | None]) -> list[tuple[np.ndarray, bytes | None]]:
@@ -108,15 +103,12 @@ def hashed_sets(texts: list[str | None]) -> list[tuple[np.ndarray, bytes | None]
     out = []
     for i, j in slices(list(map(len, raw)), _CHUNK):
         if j == i + 1:
-            parts = [_HASHES.of(split_words(part)) for part in _chunks(raw[i])]
+            parts = [word_hashes(part)[1] for part in _chunks(raw[i])]
             out.append(_shingles(np.concatenate(parts) if parts else np.zeros((0, 2), np.uint64)))
             continue
-        words = [split_words(r) for r in raw[i:j]]
-        lanes = _HASHES.of(list(chain.from_iterable(words)))
-        at = 0
-        for w in words:
-            out.append(_shingles(lanes[at : at + len(w)]))
-            at += len(w)
+        starts, lanes = word_hashes(b" ".join(raw[i:j]))
+        first = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw[i:j])]))
+        out += [_shingles(lanes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
     return out
 
 
