@@ -180,7 +180,7 @@ def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int)
     """Of the pairs (a, b), those whose word sets overlap by at least percent of their union. sizes: id, n; texts: id, text."""
     left, right = (sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
     able = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent  # no smaller set can share so much
-    near = materialize(pairs.join(left, "a").join(right, "b").where(able).select("a", "b").distinct(), "near")
+    near = materialize(pairs.join(left, "a").join(right, "b").where(able).select("a", "b"), "near")
     left, right = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t_{c}")) for c in "ab")
     return near.join(left, "a").join(right, "b").select("a", "t_a", "b", "t_b").mapInArrow(_confirm(percent), "a long, b long")
 
