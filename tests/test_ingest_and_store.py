@@ -376,3 +376,39 @@ def test_partial_success(spark):
     bodies = spark.createDataFrame([(json.dumps(SPANS),), ("[",), (json.dumps(METRICS),)], "body string")
     got = [tuple(r) for r in otlp.rejections(bodies, "traces").collect()]
     assert got[0] == (3, 1, "span without trace id or span id", None) and got[1][3].startswith("invalid OTLP payload") and got[2] == (0, 0, None, None)
+
+
+def test_writers_that_come_second_try_again(spark, tmp_path):
+    one, two = (Store(spark, f"file://{tmp_path}")["logs"] for _ in range(2))
+    bodies = lambda k: native.parse_frame(spark.createDataFrame([(json.dumps({"i": k}),)] * 3, "b string").coalesce(1), "json", NOW)
+    publish, calls = one._publish, []
+
+    def late(folder, version, value):
+        if not calls:  # another writer is first, once
+            calls.append(1)
+            two.append(bodies(2), "other#0")
+        publish(folder, version, value)
+
+    one._publish = late
+    one.append(bodies(1), "own#0")
+    rows = {r.id: r.attributes_json for r in two.view().df.collect()}
+    assert rows == {1: '{"i":2}', 2: '{"i":2}', 3: '{"i":2}', 4: '{"i":1}', 5: '{"i":1}', 6: '{"i":1}'} and one.manifest().streams == {"other": 0, "own": 0}
+    assert len(one._names("data")) == 2 and one._names("staging") == []
+    assert one.append(bodies(3), "own#0").next_id == 7
+    one._publish = lambda *a: (_ for _ in ()).throw(Conflict("always"))
+    with pytest.raises(Conflict):
+        one.append(bodies(4))
+    assert len(one._names("data")) == 2 and one._names("staging") == [] and one.vacuum(orphan_hours=0) == 0
+
+
+def test_inbox_commits_together_and_refuses_what_is_over(spark, tmp_path):
+    table = Store(spark, f"file://{tmp_path}")["logs"]
+    box = live.Inbox(table, most=3)
+    box.submit(native.events_of('[{"i":1},{"i":2}]', "json", NOW))
+    with pytest.raises(limits.Busy):
+        box.submit(native.events_of('[{"i":3},{"i":4}]', "json", NOW))
+    assert box.submit(native.events_of('{"i":5}', "json", NOW)) == 3
+    version = box.flush().version
+    assert sorted(r[0] for r in table.view().df.select("attributes_json").collect()) == ['{"i":1}', '{"i":2}', '{"i":5}'] and box.flush().version == version
+    with pytest.raises(ValueError):
+        live.ingest_stream(spark.readStream.format("rate").load(), lambda b: b, table, "")
