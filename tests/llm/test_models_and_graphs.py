@@ -329,6 +329,79 @@ def test_tags_nest_as_browsers_nest_them():
     assert extract("<div><i>a</div>b</i><dl><dt>c<dd>d<dt>e</dl>") == "a\nb\nc\nd\ne"
 
 
+def spelt(root):
+    """A parsed page in full: each block's tag, marks and items, in page order."""
+    out, todo = [], [root]
+    while todo:
+        b = todo.pop()
+        out.append((b.tag, b.main, b.worded, [i if type(i) is list else None for i in b.items], b.text()))
+        todo += reversed(b.blocks())
+    return out
+
+
+def test_remembered_tags_hold_inside_and_outside_of_a_main_and_may_be_forgotten(monkeypatch):
+    h = "<header>a</header><div class='header'>b</div><article><header>c</header><div class='header'>d</div><p>e<p>f</article><header>g</header><div class='header'>h</div>"
+    assert extract(h) == extract(h) == "c\nd\ne\nf"
+    fresh = spelt(html_extract.parse(h, known={}))
+    assert [t[-1] for t in fresh if t[-1]] == list("abcdefgh")
+    monkeypatch.setattr(html_extract, "MAX_TAGS", 2)
+    small = {}
+    assert spelt(html_extract.parse(h, known=small)) == spelt(html_extract.parse(h)) == fresh and len(small) <= 2
+    long = f"<div title='{'x' * 500}'>i</div>"
+    assert spelt(html_extract.parse(long, known=small))[1][-1] == "i" and all(len(t) <= html_extract.MAX_TAG for t in small)
+
+
+def test_a_tree_and_its_kind_are_the_same_without_release():
+    h = "<div class='content has-sidebar'><article class='post'><p>a<p>b</article></div><div class='ad'>c</div>"
+    one, two = html_extract.parse(h), html_extract.parse(h, release=False)
+    assert spelt(one) == spelt(two) and html_extract.skeleton(one) == html_extract.skeleton(two)
+    assert [b.skip for b in html_extract.number(one, {})] != [b.skip for b in html_extract.number(two, {})]
+
+
+def test_a_page_takes_few_calls_a_tag():
+    import sys
+
+    def made(k):
+        body = "".join(f"<p>{k} {j} <b>word</b> &amp; more</p>" for j in range(40 + k))
+        return f"<body><nav><ul>{''.join(f'<li><a href=/{j}>{j}</a></li>' for j in range(9))}</ul></nav><div class='ad'>buy</div><article><h1>T{k}</h1>{body}</article><footer>f</footer></body>"
+
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    shapes, memo = {}, {}
+    reference = html_extract.number(html_extract.parse(made(0)), shapes)
+    counts = {b.number: (5, 5 * (b.tag != "p"), 500) for b in reference}
+    h = made(3)
+    before = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        text = html_extract.extract(h, reference, counts, html_extract.region_of(reference, counts), shapes, memo)
+    finally:
+        sys.setprofile(before)
+    assert text.splitlines() == ["T3", *(f"3 {j} word & more" for j in range(43))]
+    assert calls / h.count("<") < 8  # 14 when every question about open elements was a call
+
+
+def test_a_hosts_counts_are_converted_once():
+    class Column:
+        def __init__(self, rows):
+            self.rows, self.asked = rows, 0
+
+        def as_py(self):
+            self.asked += 1
+            return self.rows
+
+    refs = Column([{"n": 1, "kind": 0, "ref": "<div><p>a</p></div>"}])
+    counts = Column([{"n": 1, "node": k, "met": 3, "same": 3, "chars": 3} for k in range(3)])
+    hosts = html_extract._Hosts()
+    for _ in range(5):
+        known, _, _ = hosts.get("h", refs, counts)
+    assert (refs.asked, counts.asked) == (1, 1) and known[0].table[2] == (3, 3, 3)
+
+
 def soup(n, k):
     """A page without telling tags or classes: template in x and z, content in y."""
     rng = random.Random(n)

@@ -70,7 +70,7 @@ MOST = 0.5
 class Block:
     """A block element: its tag, whether markup rules it out (worded: only a word of class or id does) or marks it, and its items: runs of text and blocks, in order."""
 
-    __slots__ = ("tag", "skip", "worded", "main", "items", "parent", "shape", "number", "size", "own")
+    __slots__ = ("tag", "skip", "worded", "main", "items", "parent", "shape", "number", "size", "own", "kids")
 
     def __init__(self, tag: str, parent: Block | None = None):
         self.tag, self.parent = tag, parent
@@ -78,19 +78,24 @@ class Block:
         self.items: list = []
         self.shape = self.number = self.size = -1
         self.own: str | None = None
+        self.kids: list[Block] | None = None
 
     def blocks(self) -> list[Block]:
-        return [x for x in self.items if type(x) is Block]
+        """The blocks among the items, found once: items don't change after parsing."""
+        if (kids := self.kids) is None:
+            kids = self.kids = [x for x in self.items if type(x) is Block]
+        return kids
 
     def text(self) -> str:
         """The block's own text, without the blocks in it."""
-        if self.own is None:
-            self.own = "\n".join(t for x in self.items if type(x) is not Block and (t := clean(x)))
-        return self.own
+        if (own := self.own) is None:
+            own = self.own = "\n".join([t for x in self.items if type(x) is not Block and (t := clean(x))])
+        return own
 
 
 def clean(run: list[str]) -> str:
-    return " ".join(unescape("".join(run)).split()) if "&" in (s := "".join(run)) else " ".join(s.split())
+    s = run[0] if len(run) == 1 else "".join(run)
+    return " ".join((unescape(s) if "&" in s else s).split())
 
 
 def _rules(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool, int]:
@@ -121,52 +126,60 @@ def _rules(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool, int]:
 class _Open:
     """The open elements: inline ones with the block they are in. Each question about them is answered from the tops of short lists, however deep the page."""
 
+    __slots__ = ("stack", "at", "blocks", "scopes", "mains")
+
     def __init__(self, root: Block):
-        self.stack: list[tuple[str, Block]] = [("#page", root)]
+        self.stack: list[tuple] = [("#page", root, False, False, False)]  # tag, block, whether it is its own, in BLOCK, in SCOPE
         self.at: dict[str, list[int]] = {}  # of each tag, where it is open
         self.blocks, self.scopes = [0], [0]  # where elements of BLOCK and SCOPE are open
         self.mains = 0
 
-    @property
-    def here(self) -> Block:
-        return self.stack[-1][1]
-
-    def push(self, tag: str, block: Block, own: bool) -> None:
+    def push(self, tag: str, block: Block, own: bool, is_block: bool, is_scope: bool) -> None:
         k = len(self.stack)
-        self.stack.append((tag, block))
-        self.at.setdefault(tag, []).append(k)
-        if tag in BLOCK:
+        self.stack.append((tag, block, own, is_block, is_scope))
+        if (places := self.at.get(tag)) is None:
+            self.at[tag] = [k]
+        else:
+            places.append(k)
+        if is_block:
             self.blocks.append(k)
-        if tag in SCOPE:
-            self.scopes.append(k)
-        self.mains += own and bool(block.main)
+            if is_scope:
+                self.scopes.append(k)
+        if own and block.main:
+            self.mains += 1
 
     def close(self, depth: int) -> bool:
         """Ends all elements from depth on; whether a block was among them."""
-        ended = False
-        while len(self.stack) > depth:
-            tag, block = self.stack.pop()
-            k, own = len(self.stack), block is not self.stack[-1][1]
-            ended = ended or own or tag in BLOCK
-            self.at[tag].pop()
-            for places in (self.blocks, self.scopes):
-                if places[-1] == k:
-                    places.pop()
-            self.mains -= own and bool(block.main)
+        ended, stack, at = False, self.stack, self.at
+        while len(stack) > depth:
+            tag, block, own, is_block, is_scope = stack.pop()
+            at[tag].pop()
+            if is_block:
+                self.blocks.pop()
+                if is_scope:
+                    self.scopes.pop()
+            if own or is_block:
+                ended = True
+                if own and block.main:
+                    self.mains -= 1
         return ended
 
     def last(self, tags) -> int:
         """Where the innermost open element of one of the tags is; -1 if there is none."""
-        return max((places[-1] for t in tags if (places := self.at.get(t))), default=-1)
+        k = -1
+        for t in tags:
+            if (places := self.at.get(t)) and places[-1] > k:
+                k = places[-1]
+        return k
 
-    def end(self, tag: str) -> bool:
+    def end(self, tag: str, is_block: bool) -> bool:
         """An end tag: ends its element and what is in it. An inline one doesn't reach out of its block, and stray ones end nothing."""
-        k = self.last((tag,))
-        return k > 0 and (tag in BLOCK or k > self.blocks[-1]) and self.close(k)
+        if not (places := self.at.get(tag)):
+            return False
+        return (is_block or places[-1] > self.blocks[-1]) and self.close(places[-1])
 
-    def begin(self, tag: str) -> bool:
+    def begin(self, tag: str, ends: frozenset) -> bool:
         """A block's start tag: ends the open elements that it implies the end of, within its scope."""
-        ends = ENDS.get(tag, set()) | ({"p"} if tag not in ("option", "button") else set())
         ended = False
         while (k := self.last(ends)) > self.scopes[-1]:
             ended = self.close(k) or ended
@@ -179,69 +192,98 @@ def _raw_end(tag: str, known: dict = {t: re.compile(f"</{t}", re.I | re.A) for t
     return known[tag]
 
 
-def parse(page: str | None) -> Block:
-    """The page as a tree of blocks. Any text is a page: unclosed and stray tags are mended as browsers mend the usual ones."""
+#: What a tag is to the parser.
+START, END, RAWTEXT, SPACE, NOTHING = range(5)
+#: Tags remembered, by their text, and the longest text of one.
+MAX_TAGS, MAX_TAG = 5_000, 100
+_NO_ENDS, _ENDS = frozenset(), {t: frozenset(ENDS.get(t, set()) | ({"p"} if t not in ("option", "button") else set())) for t in BLOCK}
+
+
+def _tag(m: re.Match) -> tuple:
+    """Of a tag's match, and told from its text alone: what it is, its name, whether in BLOCK and in SCOPE, the names it ends, whether it stays open, and its rules outside and inside of a main."""
+    end, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+    tag = tag.lower()
+    kind = END if end else RAWTEXT if tag in RAW else SPACE if tag == "br" else NOTHING if tag in VOID and tag != "hr" else START
+    if kind != START:
+        return kind, tag, tag in BLOCK, False, _NO_ENDS, False, (), ()
+    inside = _rules(tag, attrs, True)
+    outside = _rules(tag, attrs, False) if tag == "header" or "header" in attrs.lower() else inside
+    stays = tag != "hr" and (not attrs.endswith("/") or tag in BLOCK)
+    return kind, tag, tag in BLOCK, tag in SCOPE, _ENDS.get(tag, _NO_ENDS), stays, outside, inside
+
+
+def parse(page: str | None, release: bool = True, known: dict[str, tuple] = {}) -> Block:
+    """The page as a tree of blocks. Any text is a page: unclosed and stray tags are mended as browsers mend the usual ones.
+
+    Without release all worded blocks stay ruled out; the tree and its texts are the same. known: the tags met, on all pages.
+    """
     root = Block("#page")
     page = page or ""
     open_ = _Open(root)
+    stack, begin, ended, push = open_.stack, open_.begin, open_.end, open_.push
     run: list | None = None
     worded: list[Block] = []
     marks: list[Block] = []
-
-    def put(text: str) -> None:
-        nonlocal run
-        if run is None:
-            run = []
-            open_.here.items.append(run)
-        run.append(text)
-
     at = 0
     for_token = _TOKEN.search
     while m := for_token(page, at):
-        if m.start() > at:
-            put(page[at : m.start()])
-        at = m.end()
-        end, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                put(m[0][9:-3])
-            continue
-        tag = tag.lower()
-        if end:
-            if open_.end(tag) or tag == "p":  # a stray </p> is an empty paragraph
-                run = None
-            continue
-        if tag in RAW:
-            stop = _raw_end(tag).search(page, at)
-            at = len(page) if stop is None else (page.find(">", stop.end()) + 1 or len(page))
-            continue
-        if tag == "br":
-            put(" ")
-            continue
-        if tag in VOID and tag != "hr":
-            continue
-        if tag in BLOCK and open_.begin(tag):
-            run = None
-        skip, word, main = _rules(tag, attrs, open_.mains > 0)
-        own = tag in BLOCK or skip or word or bool(main)
-        block = open_.here
-        if own:
-            block = Block(tag, open_.here)
-            block.skip, block.worded, block.main = skip or word, word and not skip, main
-            if block.worded:
-                worded.append(block)
-            if main:
-                marks.append(block)
-            open_.here.items.append(block)
-            run = None
-            if tag == "hr":
+        start, stop = m.span()
+        if start > at:
+            if run is None:
+                stack[-1][1].items.append(run := [page[at:start]])
+            else:
+                run.append(page[at:start])
+        at = stop
+        text = m[0]
+        found = known.get(text)
+        if found is None:
+            if m.lastindex is None:  # a comment or declaration
+                if text.startswith("<![CDATA["):
+                    if run is None:
+                        stack[-1][1].items.append(run := [])
+                    run.append(text[9:-3])
                 continue
-        if not attrs.endswith("/") or tag in BLOCK:
-            open_.push(tag, block, own)
+            found = _tag(m)
+            if len(text) <= MAX_TAG:
+                if len(known) >= MAX_TAGS:
+                    known.clear()
+                known[text] = found
+        kind, tag, is_block, is_scope, ends, stays, outside, inside = found
+        if kind == START:
+            if is_block and begin(tag, ends):
+                run = None
+            skip, word, main = inside if open_.mains else outside
+            block = stack[-1][1]
+            own = bool(is_block or skip or word or main)
+            if own:
+                block.items.append(block := Block(tag, block))
+                if skip or word:
+                    block.skip = True
+                    if not skip:
+                        block.worded = True
+                        worded.append(block)
+                if main:
+                    block.main = main
+                    marks.append(block)
+                run = None
+            if stays:
+                push(tag, block, own, is_block, is_scope)
+        elif kind == END:
+            if ended(tag, is_block) or tag == "p":  # a stray </p> is an empty paragraph
+                run = None
+        elif kind == RAWTEXT:
+            close = _raw_end(tag).search(page, at)
+            at = len(page) if close is None else (page.find(">", close.end()) + 1 or len(page))
+        elif kind == SPACE:
+            if run is None:
+                stack[-1][1].items.append(run := [])
+            run.append(" ")
     if at < len(page):
         cut = _OPEN.search(page, at)  # a tag that the page's end cuts off is no text
-        put(page[at : cut.start() if cut else len(page)])
-    if worded:
+        if run is None:
+            stack[-1][1].items.append(run := [])
+        run.append(page[at : cut.start() if cut else len(page)])
+    if worded and release:
         _release(root, worded, marks)
     return root
 
@@ -273,11 +315,14 @@ def number(root: Block, shapes: dict) -> list[Block]:
         b = todo.pop()
         b.number = len(order)
         order.append(b)
-        todo += reversed(b.blocks())
+        if held := b.blocks():
+            todo += held[::-1]
     for b in reversed(order):
-        held = b.blocks()
-        b.size = 1 + sum(c.size for c in held)
-        b.shape = shapes.setdefault((b.tag, *(c.shape for c in held)), len(shapes))
+        size, key = 1, [b.tag]
+        for c in b.kids:
+            size += c.size
+            key.append(c.shape)
+        b.size, b.shape = size, shapes.setdefault(tuple(key), len(shapes))
     return order
 
 
@@ -313,13 +358,18 @@ def align(one: Block, two: Block, memo: dict) -> list[tuple[Block, Block]]:
                 todo.pop()
 
     def children(p: list[Block], q: list[Block], texts: bool = False) -> list[tuple[Block, Block]]:
-        head, tail = 0, 0
-        while head < min(len(p), len(q)) and p[head].shape == q[head].shape:
+        head, tail, most = 0, 0, min(len(p), len(q))
+        while head < most and p[head].shape == q[head].shape:
             head += 1
-        while tail < min(len(p), len(q)) - head and p[-1 - tail].shape == q[-1 - tail].shape:
+        most -= head
+        while tail < most and p[-1 - tail].shape == q[-1 - tail].shape:
             tail += 1
-        mid_p, mid_q = p[head : len(p) - tail], q[head : len(q) - tail]
-        return list(zip(p[:head], q[:head], strict=True)) + middle(mid_p, mid_q, texts) + list(zip(p[len(p) - tail :], q[len(q) - tail :], strict=True))
+        out = list(zip(p[:head], q[:head], strict=True))
+        if tail < most:
+            out += middle(p[head : len(p) - tail], q[head : len(q) - tail], texts)
+        if tail:
+            out += zip(p[-tail:], q[-tail:], strict=True)
+        return out
 
     def middle(p: list[Block], q: list[Block], texts: bool) -> list[tuple[Block, Block]]:
         if len(p) * len(q) <= MAX_EXACT:
@@ -377,9 +427,15 @@ def align(one: Block, two: Block, memo: dict) -> list[tuple[Block, Block]]:
         a, b = todo.pop()
         if a.tag == b.tag:
             pairs.append((a, b))
+            p, q = a.blocks(), b.blocks()
+            if not p or not q:
+                continue
+            if a.shape == b.shape:
+                todo += zip(p, q, strict=True)
+                continue
             while True:
                 missing.clear()
-                found = children(a.blocks(), b.blocks(), True)
+                found = children(p, q, True)
                 if not missing:
                     break
                 for c, d in {(c.shape, d.shape): (c, d) for c, d in missing}.values():
@@ -530,9 +586,9 @@ def content(root: Block, order: list[Block], reference: list[Block] | None, coun
     tops, out = [top], _ruled_out(order)
     if marks := marked_articles(order, out):
         # no region (all of the page), or marked text outside it: the marks are the region
-        if top.tag in ("#page", "html", "body") or not _held(order, [top]).issuperset(marks):
+        if top.tag in ("#page", "html", "body") or any(not top.number <= m.number < top.number + top.size for m in marks):
             tops = marks
-        if sum(_size(m, template) for m in marks) < (1 - MOST) * sum(map(_size, marks)):
+        if any(not template.isdisjoint(range(m.number, m.number + m.size)) for m in marks) and sum(_size(m, template) for m in marks) < (1 - MOST) * sum(map(_size, marks)):
             template = set()
     lines = _lines(out, tops, template)
     if not lines and (template or tops != [root]):  # copies of one page have no varying text, and a page may differ from its host's others
@@ -582,7 +638,7 @@ def _references(pages: DataFrame) -> DataFrame:
         for b in batches:
             for host, page, html in zip(*(b.column(k) for k in range(3)), strict=True):
                 h, p, text = host.as_py(), page.as_py(), html.as_py() or ""
-                root = parse(text)
+                root = parse(text, release=False)
                 if chars := _length(root, KIND_CHARS):
                     rank = (p is None, p or 0, text)
                     old = best.setdefault((h, skeleton(root)), [0, rank])
@@ -646,13 +702,14 @@ class _Hosts:
     def __init__(self):
         self.known: dict = {}
 
-    def get(self, host, refs, counts=None) -> tuple[list[_Reference], dict, dict]:
-        """The host's references, shapes and memo."""
+    def get(self, host: str, refs: pa.Scalar, counts: pa.Scalar | None = None) -> tuple[list[_Reference], dict, dict]:
+        """The host's references, shapes and memo; refs and counts are only converted for a host that is not known."""
         if host not in self.known:
             if len(self.known) >= 100:
                 self.known.clear()
             shapes: dict = {}
-            self.known[host] = ([_Reference(r, shapes, counts) for r in refs.as_py()], shapes, {})
+            nodes = counts.as_py() if counts is not None else None
+            self.known[host] = ([_Reference(r, shapes, nodes) for r in refs.as_py()], shapes, {})
         return self.known[host]
 
 
@@ -676,15 +733,16 @@ def _count(batches):
             known, shapes, memo = hosts.get(host, refs)
             if any(html == r.html for r in known):
                 continue  # a reference and its copies agree with it everywhere
-            root = parse(html)
+            root = parse(html, release=False)
             ref = _of_kind(root, known)
             number(root, shapes)
             for x, y in align(ref.order[0], root, memo):
-                if x.text() or y.text():
+                one, two = x.text(), y.text()
+                if one or two:
                     s = sums.setdefault((host, ref.n, x.number), [0, 0, 0])
                     s[0] += 1
-                    s[1] += x.text() == y.text()
-                    s[2] += len(y.text())
+                    s[1] += one == two
+                    s[2] += len(two)
         if len(sums) > 100_000:
             yield send()
             sums = {}
@@ -708,7 +766,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 if not refs.is_valid:
                     texts.append(extract(html, None, {}, 0, {}, {}))
                     continue
-                known, shapes, memo = hosts.get(host.as_py(), refs, counts.as_py())
+                known, shapes, memo = hosts.get(host.as_py(), refs, counts)
                 if len(memo) > 200_000:
                     memo.clear()
                 root = parse(html)
