@@ -61,6 +61,20 @@ def test_trace_roots_of_one_id_and_time(spark, tmp_path):
     assert [r[2] for r in got if r[0].endswith("c0") and int(r[0], 16) == 192] == ["supp-7"]
 
 
+def test_trace_summary_of_whole_large_traces(spark, tmp_path):
+    """Traces of over 10,000 spans: the first's order is later than its lines and yet the root; the second's is missing, as 192 divides its key + 1."""
+    with duckdb.connect() as db:
+        db.execute(f"COPY (SELECT * REPLACE (CASE o_orderkey WHEN 7 THEN TIMESTAMP '2030-01-01' ELSE o_orderdate END AS o_orderdate) FROM '{DATA}/orders.parquet') TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+        line = "SELECT l.* REPLACE ({} AS l_orderkey, TIMESTAMP '1992-01-01' + INTERVAL 1 HOUR * i AS l_shipdate, 1000 + i // 10500 AS l_suppkey, CASE WHEN i < 10500 THEN 'A' ELSE 'R' END AS l_returnflag) FROM (SELECT * FROM '{}/lineitem.parquet' LIMIT 1) l, range(11000) t(i)"
+        both = " UNION ALL ".join([f"SELECT * FROM '{DATA}/lineitem.parquet' WHERE l_orderkey NOT IN (7, 191)", *(line.format(k, DATA) for k in (7, 191))])
+        db.execute(f"COPY ({both}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    got, want = _held(spark, tmp_path, "trace_summary")
+    assert got == want
+    large = {int(r[0], 16) - 1: r for r in got if r[5] > 10_000}
+    assert large[7][1] != "ship" and large[7][5] == 11_001 and large[7][7] == 500
+    assert large[191][1] == "ship" and large[191][5] == 11_000 and large[191][6] == "supp-0,supp-1"
+
+
 def _events(folder, change):
     with duckdb.connect() as db:
         db.execute(f"COPY (SELECT * REPLACE ({change}) FROM '{DATA}/events.parquet' ORDER BY event_id) TO '{folder}/events.parquet' (FORMAT parquet)")

@@ -228,7 +228,7 @@ def trace_summary(spark, sf_dir):
     """Of all traces, where every third trace's... root ids that 300 divides are missing when their hex ends in 00, which leaves orphans."""
     v = views.spans(spark, sf_dir)
     df = v.df.where(~F.col("span_id").endswith("00") | (F.col("id") % 300 != 0))
-    return _summary(traces.summarize(traces._spans(v, df)))
+    return _summary(traces.summarize(traces._spans(v, df), None))
 
 
 @query(f"""WITH {SPANS}, h AS (SELECT * FROM spans WHERE status = 'Error' ORDER BY ts_ns DESC, id DESC LIMIT 10000),
