@@ -61,6 +61,27 @@ def test_trace_roots_of_one_id_and_time(spark, tmp_path):
     assert [r[2] for r in got if r[0].endswith("c0") and int(r[0], 16) == 192] == ["supp-7"]
 
 
+@pytest.mark.parametrize(
+    "orders, lines",
+    [
+        ("", "l_quantity / 7 AS l_quantity"),
+        ("", "CASE WHEN l_suppkey % 2 = 0 THEN l_quantity END AS l_quantity"),
+        ("", "CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey END AS l_suppkey"),
+        ("", "CASE WHEN l_suppkey % 2 = 0 THEN l_shipdate END AS l_shipdate"),
+        ("CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS o_custkey", ""),
+        ("CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS o_totalprice", ""),
+    ],
+    ids=["parts", "no quantity", "no supplier", "no day", "no customer", "no price"],
+)
+def test_trace_summary_of_values_that_are_missing_or_in_parts(spark, tmp_path, orders, lines):
+    with duckdb.connect() as db:
+        for t, change in (("orders", orders), ("lineitem", lines)):
+            cols = f"* REPLACE ({change})" if change else "*"
+            db.execute(f"COPY (SELECT {cols} FROM '{DATA}/{t}.parquet') TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got, want = _held(spark, tmp_path, "trace_summary")
+    assert got == want
+
+
 def test_trace_summary_of_whole_large_traces(spark, tmp_path):
     """Traces of over 10,000 spans: the first's order is later than its lines and yet the root; the second's is missing, as 192 divides its key + 1."""
     with duckdb.connect() as db:

@@ -220,7 +220,7 @@ _SUMMARY_COLS = "trace_id, root_name, root_service, start, duration_ms, span_cou
 
 
 def _summary(df: DataFrame) -> DataFrame:
-    return df.withColumn("services", F.array_join("services", ",")).select(*_SUMMARY_COLS.split(", "))
+    return df.withColumn("services", F.when(F.size("services") > 0, F.array_join("services", ","))).select(*_SUMMARY_COLS.split(", "))
 
 
 @query(f"WITH {SPANS}, t AS (SELECT * FROM spans WHERE span_id NOT LIKE '%00' OR id % 300 <> 0), {_SUMMARY} SELECT {_SUMMARY_COLS} FROM sums LEFT JOIN roots USING (trace_id)")
